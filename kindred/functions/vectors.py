@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 # Vectors shorter than this count as "no vector".
 MIN_NORM = 1e-9
@@ -55,13 +56,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(has_direction(a) & has_direction(b), dot(a, b) / norms)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_blob(blob: pd.Series) -> pd.Series:
     """Little-endian float32 bytes -> array, batch at a time."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_blob(vec: pd.Series) -> pd.Series:
     """Array -> little-endian float32 bytes, batch at a time."""
     return vec.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

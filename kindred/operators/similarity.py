@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,7 +78,7 @@ def exact_top_k(
     if rules.dedup != "first":
         few = few_rows(src, n_sources)
         if few is not None:
-            lists = cand.mapInArrow(_against(few, limit, rules), kernel.RESULT_DDL)
+            lists = cand.mapInArrow(against(few, limit, rules), kernel.RESULT_DDL)
             return merge_lists(lists, limit, rules)
 
     n_src = sources.count() if n_sources is None else n_sources
@@ -131,7 +132,7 @@ def check_limit(limit: int) -> None:
         raise ValueError("limit must be positive")
 
 
-def tile_rows(items: DataFrame, rules: Rules, is_source: bool) -> DataFrame:
+def tile_rows(items: DataFrame, rules: Rules, is_source: bool, *keep: str) -> DataFrame:
     """Items with only the columns the kernel needs under these rules."""
     columns = [F.lit(is_source).alias("is_source"), F.col("id"), F.col("vec")]
     if rules.same_file:
@@ -146,7 +147,7 @@ def tile_rows(items: DataFrame, rules: Rules, is_source: bool) -> DataFrame:
         key = F.unhex(F.md5("title"))
     else:
         key = dedup_key(F.col("title"), F.col("authors"))
-    return items.select(*columns, key.alias("key"))
+    return items.select(*columns, key.alias("key"), *keep)
 
 
 def few_rows(src: DataFrame, known: int | None) -> pa.Table | None:
@@ -183,20 +184,31 @@ def _in_tile(rules: Rules) -> Rules:
     return replace(rules, dedup="none") if rules.flag_only else rules
 
 
-def _against(sources: pa.Table, limit: int, rules: Rules):
-    """Task function: candidate batches against a few sources, one short list per task."""
+def against(sources: pa.Table, limit: int, rules: Rules, by: str | None = None):
+    """Task function: candidate batches against a few sources, one short list per task.
+
+    With ``by``, sources and candidates meet only where that column is equal.
+    """
     rules = _in_tile(rules)
 
+    def tiles(batch: pa.Table) -> Iterator[pa.Table]:
+        if by is None:
+            yield pa.concat_tables([sources, batch])
+            return
+        for value in batch[by].unique():
+            yield pa.concat_tables(
+                [t.filter(pc.equal(t[by], value)) for t in (sources, batch)]
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held = [kernel.RESULT_SCHEMA.empty_table()]
         for batch in batches:
             if batch.num_rows:
-                tile = pa.concat_tables([sources, pa.table(batch).cast(sources.schema)])
-                held.append(kernel.score_tile(tile, limit, rules))
+                rows = pa.table(batch).select(sources.column_names).cast(sources.schema)
+                held += [kernel.score_tile(tile, limit, rules) for tile in tiles(rows)]
             if len(held) >= 16:
                 held = [kernel.shorten(pa.concat_tables(held), limit, rules.dedup)]
-        if held:
-            yield from kernel.shorten(pa.concat_tables(held), limit, rules.dedup).to_batches()
+        yield from kernel.shorten(pa.concat_tables(held), limit, rules.dedup).to_batches()
 
     return run
 
