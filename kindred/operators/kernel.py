@@ -53,6 +53,23 @@ class Rules:
     same_author: bool = False
     dedup: str = "best"
     flag_only: bool = False
+    # A step function of the similarity to rank by before the similarity itself: its edges,
+    # and the place of each step's value among the distinct values, lowest first.
+    step_edges: tuple[float, ...] | None = None
+    step_levels: tuple[int, ...] = ()
+
+
+# Similarities lie within -1..1, so this much apart the levels of a step function keep order.
+LEVEL_SPAN = 4.0
+
+
+def leveled(scores: np.ndarray, rules: "Rules") -> np.ndarray:
+    """One number that ranks by (level of the step function, similarity)."""
+    if rules.step_edges is None:
+        return scores
+    scores = np.round(scores, SCORE_DIGITS)
+    at = np.searchsorted(np.array(rules.step_edges), scores, "left")
+    return np.array(rules.step_levels, dtype=np.float64)[at] * LEVEL_SPAN + scores
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +108,7 @@ def score_tile(tile: pa.Table, limit: int, rules: Rules) -> pa.Table:
     step = max(1, CHUNK_ELEMENTS // len(cand))
     for at in range(0, len(src), step):
         rows = np.arange(at, min(at + step, len(src)))
-        scores = vecs[src[rows]] @ vecs[cand].T
+        scores = leveled(vecs[src[rows]] @ vecs[cand].T, rules)
         if not rules.flag_only:
             for i, row in enumerate(rows):
                 for columns in exclusions.of(row):

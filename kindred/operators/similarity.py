@@ -30,6 +30,9 @@ MIN_BLOCK_ROWS = 256
 # So many sources may travel to every task instead of being shuffled.
 FEW_SOURCES = 1_000
 
+# Beyond so many tiles a task takes several, one after the other.
+MAX_TASKS = 20_000
+
 LIST_COLUMNS = ["book_id", "similar_book_id", "score", "rank"]
 
 
@@ -71,6 +74,7 @@ def exact_top_k(
     """
     check_limit(limit)
     spark = candidates.sparkSession
+    same = sources is candidates and rules.dedup != "first"
     if rules.dedup == "first":
         candidates = first_per_title(candidates)
     src, cand = tile_rows(sources, rules, True), tile_rows(candidates, rules, False)
@@ -81,8 +85,8 @@ def exact_top_k(
             lists = cand.mapInArrow(against(few, limit, rules), kernel.RESULT_DDL)
             return merge_lists(lists, limit, rules)
 
-    n_src = sources.count() if n_sources is None else n_sources
     n_cand = candidates.count() if n_candidates is None else n_candidates
+    n_src = (n_cand if same else sources.count()) if n_sources is None else n_sources
     rows, cols = block_counts(n_src, n_cand, block_rows, 2 * parallelism(spark))
     # All rows of a title must meet in one tile when the lowest id stands for it.
     spread = F.coalesce(F.hex("key"), F.lit("")) if rules.dedup == "first" else F.col("id")
@@ -94,13 +98,14 @@ def exact_top_k(
         src.unionByName(cand)
         .withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int"))
         .drop("row", "col")
-        # One task per tile: the tile number is the partition number.
-        .repartitionById(rows * cols, "tile")
     )
+    if rows * cols <= MAX_TASKS:
+        # One task per tile: the tile number is the partition number.
+        tiles = tiles.repartitionById(rows * cols, "tile")
     return merge_lists(score_tiles(tiles, ["tile"], limit, rules), limit, rules)
 
 
-def top_k_overfetched(
+def neighbour_pool(
     sources: DataFrame,
     candidates: DataFrame,
     limit: int,
@@ -109,22 +114,29 @@ def top_k_overfetched(
     search=exact_top_k,
     **search_options,
 ) -> DataFrame:
-    """Take the nearest ``overfetch(limit, n)`` first, then exclude, dedup and cut.
+    """The nearest ``overfetch(limit, n)`` of every source, then excluded and deduplicated.
 
-    A source whose neighbours are mostly excluded gets fewer than ``limit``; without
-    this step (plain ``exact_top_k``) it always gets all there are.
+    A source whose neighbours are mostly excluded ends up with fewer than ``limit``; plain
+    ``exact_top_k`` always fills up. ``candidates`` is what ``search`` searches.
     """
     n = candidates.count() if n_candidates is None else n_candidates
-    pool = overfetch(limit, n)
-    lists = search(
+    pool = search(
         sources,
         candidates,
-        pool,
+        overfetch(limit, n),
         replace(rules, flag_only=True),
         n_candidates=n,
         **search_options,
     )
-    return cut(best_per_key(lists.where(~F.col("excluded"))), limit).select(LIST_COLUMNS)
+    pool = pool.where(~F.col("excluded"))
+    return best_per_key(pool) if rules.dedup == "best" else pool
+
+
+def top_k_overfetched(sources: DataFrame, candidates: DataFrame, limit: int, *args, **options):
+    """``neighbour_pool`` cut to the best ``limit``."""
+    return cut(neighbour_pool(sources, candidates, limit, *args, **options), limit).select(
+        LIST_COLUMNS
+    )
 
 
 def check_limit(limit: int) -> None:

@@ -54,6 +54,7 @@ def local_session(cores: str | int = "*", memory: str = "12g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("kindred")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

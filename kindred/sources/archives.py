@@ -34,8 +34,12 @@ def list_members(spark: SparkSession, location: str, glob: str | None = ZIP_GLOB
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    paths = reader.load(location).select("path")
-    paths = paths.repartition(parallelism(spark), "path")
+    return members_of(reader.load(location).select("path"))
+
+
+def members_of(paths: DataFrame) -> DataFrame:
+    """One row per non-directory member of every archive in ``path``."""
+    paths = paths.select("path").repartition(parallelism(paths.sparkSession), "path")
     return paths.mapInPandas(_list, MEMBER_SCHEMA)
 
 

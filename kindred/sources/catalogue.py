@@ -70,6 +70,18 @@ def catalogue_books(records: DataFrame) -> DataFrame:
     )
 
 
+def listed_books(members: DataFrame) -> DataFrame:
+    """Archive listing -> books of which nothing but the place is known."""
+    unknown = F.lit(None).cast("string")
+    return members.where("error IS NULL").select(
+        "archive",
+        F.col("member").alias("book"),
+        unknown.alias("title"),
+        unknown.alias("author"),
+        F.lit(None).cast("array<string>").alias("authors"),
+    )
+
+
 def unseen(found: DataFrame, books: DataFrame) -> DataFrame:
     """Found books whose file name is not in ``books`` yet (the archive does not matter)."""
     return found.join(books.select("book"), "book", "left_anti").select(found.columns)
@@ -87,14 +99,7 @@ def scan_catalogue(
         lines = inpx_lines(spark, location).where("error IS NULL")
         found = catalogue_books(eligible(parse_lines(lines), language))
     elif kind == ZIP:
-        unknown = F.lit(None).cast("string")
-        found = list_members(spark, location).where("error IS NULL").select(
-            "archive",
-            F.col("member").alias("book"),
-            unknown.alias("title"),
-            unknown.alias("author"),
-            F.lit(None).cast("array<string>").alias("authors"),
-        )
+        found = listed_books(list_members(spark, location))
     else:
         raise ValueError(f"unknown catalogue kind: {kind}")
     return unseen(found, books)

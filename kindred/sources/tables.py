@@ -8,6 +8,8 @@ state beside the old one; a path that is being read is never overwritten.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,20 +75,23 @@ def highest(table: DataFrame, column: str = "id") -> Column:
     return table.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).scalar()
 
 
-def save_books(books: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert or replace books by (book, archive). A known book keeps its id.
+def book_changes(books: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows to insert or replace for a batch of books. A known (book, archive) keeps its id.
 
     ``batch`` has ``book, archive, uid, title, author, added_at``; the latest row counts.
     """
     key = ["book", "archive"]
     batch = latest(batch, key, F.desc("added_at"), F.desc("title"), F.desc("uid"), F.desc("author"))
-    known = books.groupBy(*key).agg(F.min("id").alias("id"))
-    matched = batch.join(known, key, "left")
-    fresh = number(
-        matched.where(F.col("id").isNull()).drop("id"), key, highest(books)
-    )
-    changed = matched.where(F.col("id").isNotNull()).unionByName(fresh)
-    return upsert(books, changed, key)
+    # Only books of the batch are grouped: the table itself is not shuffled for a small batch.
+    known = books.join(batch.select(*key), key, "left_semi")
+    matched = batch.join(known.groupBy(*key).agg(F.min("id").alias("id")), key, "left")
+    fresh = number(matched.where(F.col("id").isNull()).drop("id"), key, highest(books))
+    return matched.where(F.col("id").isNotNull()).unionByName(fresh).select(books.columns)
+
+
+def save_books(books: DataFrame, batch: DataFrame) -> DataFrame:
+    """Insert or replace books by (book, archive)."""
+    return upsert(books, book_changes(books, batch), ["book", "archive"])
 
 
 def save_embeddings(embeddings: DataFrame, batch: DataFrame) -> DataFrame:
@@ -94,22 +99,28 @@ def save_embeddings(embeddings: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(embeddings, batch, ["book_id"])
 
 
+def author_changes(authors: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Author names of books (``book_id, authors``) -> (new author rows, their bridge rows)."""
+    named = batch.select("book_id", F.explode(F.array_distinct("authors")).alias("name"))
+    names = named.select("name").distinct()
+    new = number(names.join(authors, "name", "left_anti"), ["name"], highest(authors))
+    new = new.select(authors.columns)
+    known = authors.join(names, "name", "left_semi").groupBy("name")
+    ids = known.agg(F.min("id").alias("author_id")).unionByName(
+        new.select("name", F.col("id").alias("author_id"))
+    )
+    return new, named.join(ids, "name").select("book_id", "author_id")
+
+
 def save_authors(
     authors: DataFrame, bridge: DataFrame, batch: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Author names of books -> (author table, bridge table).
+    """Add new names; replace the bridge rows of the batch's books.
 
-    ``batch`` has ``book_id, authors``. New names get ids, the bridge rows of the batch's
-    books are replaced; a book with an empty list keeps what it had.
+    A book with an empty list keeps what it had.
     """
-    named = batch.select("book_id", F.explode(F.array_distinct("authors")).alias("name"))
-    new_names = named.select("name").distinct().join(authors, "name", "left_anti")
-    authors = authors.unionByName(
-        number(new_names, ["name"], highest(authors)).select(authors.columns)
-    )
-    ids = authors.groupBy("name").agg(F.min("id").alias("author_id"))
-    rows = named.join(ids, "name").select("book_id", "author_id")
-    return authors, replace_groups(bridge, rows, "book_id")
+    new, rows = author_changes(authors, batch)
+    return authors.unionByName(new), replace_groups(bridge, rows, "book_id")
 
 
 def save_feedback(feedback: DataFrame, batch: DataFrame) -> DataFrame:
@@ -124,36 +135,55 @@ def save_feedback(feedback: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A table as numbered parquet folders under one path; the highest finished one counts."""
+    """A table under one path whose every state is a list of finished parquet folders.
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    ``write`` starts a new list, ``append`` adds a folder to it. A one-row mark, written
+    last, makes a state count; folders that are being read are never touched. A ``token``
+    names a change: the same change again (a replayed stream batch) does nothing.
+    """
 
-    def versions(self) -> list[int]:
-        """Finished versions, from the one-row marks written after each."""
-        try:
-            rows = self.spark.read.schema("version long").json(f"{self.path}/marks").distinct()
-            return sorted(r.version for r in rows.collect())
-        except AnalysisException:
-            return []
+    MARKS = "version long, token string, folders array<string>"
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def read(self) -> DataFrame:
-        found = self.versions()
-        if not found:
+        marks = self._marks()
+        if not marks:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(found[-1]))
-
-    def write(self, rows: DataFrame, version: int | None = None) -> DataFrame:
-        """Write the next state and read it back. Writing a finished version again changes nothing."""
-        found = self.versions()
-        if version is None:
-            version = found[-1] + 1 if found else 1
-        if version not in found:
+        folders = [f"{self.path}/{f}" for f in marks[-1].folders]
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def write(self, rows: DataFrame, token: str | None = None) -> DataFrame:
+        return self._change(rows, token, keep=False)
+
+    def append(self, rows: DataFrame, token: str | None = None) -> DataFrame:
+        return self._change(rows, token, keep=True)
+
+    def version(self) -> int:
+        marks = self._marks()
+        return marks[-1].version if marks else 0
+
+    def has(self, token: str) -> bool:
+        return any(m.token == token for m in self._marks())
+
+    def _change(self, rows: DataFrame, token: str | None, keep: bool) -> DataFrame:
+        marks = self._marks()
+        if token is None or all(m.token != token for m in marks):
+            version = marks[-1].version + 1 if marks else 1
+            # A change that died half way leaves a folder no mark names.
+            folder = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
             columns = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
-            rows.select(*columns).write.mode("overwrite").parquet(self._folder(version))
-            mark = self.spark.createDataFrame([(version,)], "version long").coalesce(1)
-            mark.write.mode("append").json(f"{self.path}/marks")
+            rows.select(*columns).write.parquet(f"{self.path}/{folder}")
+            folders = (list(marks[-1].folders) if keep and marks else []) + [folder]
+            mark = self.spark.createDataFrame([(version, token, folders)], self.MARKS)
+            mark.coalesce(1).write.mode("append").json(f"{self.path}/marks")
         return self.read()
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
+    def _marks(self) -> list:
+        """One small row per change, oldest first."""
+        try:
+            marks = self.spark.read.schema(self.MARKS).json(f"{self.path}/marks")
+            return sorted(marks.collect(), key=lambda m: m.version)
+        except AnalysisException:
+            return []
