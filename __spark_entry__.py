@@ -134,7 +134,7 @@ def paragraph_sample(spark: SparkSession, sf: str) -> DataFrame:
 def fb2_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as book markup, read back: id, title, authors, text sample."""
     books = stand_ins.document_books(spark, sf).select("doc_id", "content")
-    read = describe(read_markup(stand_ins.spread(books)))
+    read = describe(read_markup(books))
     return read.select(
         "doc_id",
         "uid",
@@ -509,7 +509,7 @@ def edge_score_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf: str) -> rerank.Steps:
     rows = rerank.training_set(_feedback(spark, sf), stand_ins.vectors(spark, sf))
-    return rerank.Steps.of(spark, rerank.train(rows, rounds=20))
+    return rerank.train(rows, rounds=20)
 
 
 def rerank_exact(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,14 +90,16 @@ def exact_top_k(
     rows, cols = block_counts(n_src, n_cand, block_rows, 2 * parallelism(spark))
     # All rows of a title must meet in one tile when the lowest id stands for it.
     spread = F.coalesce(F.hex("key"), F.lit("")) if rules.dedup == "first" else F.col("id")
-    src = src.withColumn("row", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int"))
-    src = src.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    cand = cand.withColumn("col", F.pmod(F.xxhash64(spread), F.lit(cols)).cast("int"))
-    cand = cand.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    tiles = (
-        src.unionByName(cand)
-        .withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int"))
-        .drop("row", "col")
+    if same:
+        tiles = self_tiles(cand, rows, cols)
+    else:
+        src = src.withColumn("row", _block("id", rows))
+        src = src.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+        cand = cand.withColumn("col", _block(spread, cols))
+        cand = cand.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+        tiles = src.unionByName(cand)
+    tiles = tiles.withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int")).drop(
+        "row", "col"
     )
     if rows * cols <= MAX_TASKS:
         # One task per tile: the tile number is the partition number.
@@ -105,6 +107,28 @@ def exact_top_k(
     return merge_lists(score_tiles(tiles, ["tile"], limit, rules), limit, rules)
 
 
+def self_tiles(items: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Every item as a source and as a candidate, in one pass over the items."""
+
+    def place(is_source: bool, row: Column, col: Column) -> Column:
+        return F.struct(F.lit(is_source).alias("is_source"), row.alias("row"), col.alias("col"))
+
+    placed = items.drop("is_source").withColumns(
+        {"_row": _block("id", rows), "_col": _block("id", cols)}
+    )
+    as_source = F.transform(
+        F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: place(True, F.col("_row"), c)
+    )
+    as_candidate = F.transform(
+        F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: place(False, r, F.col("_col"))
+    )
+    return placed.select("*", F.inline(F.concat(as_source, as_candidate))).drop("_row", "_col")
+
+
+def _block(of: Column | str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(blocks)).cast("int")
+
+
 def neighbour_pool(
     sources: DataFrame,
     candidates: DataFrame,

@@ -9,22 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import fallback, fallback_list
-from kindred.operators.extract import describe, read_markup
-from kindred.sources.archives import read_members
+from kindred.operators.extract import describe, read_archived
 from kindred.sources.markup import BOOK_NAMESPACE
 from kindred.sources.tables import (
+    BOOK_KEY,
     append,
     author_changes,
-    book_changes,
+    book_ids,
     latest,
     replace_groups,
     save_authors,
     upsert,
 )
 
-KEY = ["book", "archive"]
-
-
 @dataclass(frozen=True)
 class Library:
     books: DataFrame
@@ -33,35 +30,41 @@ class Library:
     book_authors: DataFrame
 
 
+def with_ids(found: DataFrame, books: DataFrame) -> DataFrame:
+    """One row per found (book, archive), with the ``book_id`` it has or will have.
+
+    Numbers are given before the documents are read: what is numbered is small, and all
+    tables can be made from the one table that reading gives. A document that turns out
+    unreadable leaves a gap.
+    """
+    one = latest(found, BOOK_KEY, *[F.col(c) for c in ("title", "author")])
+    return book_ids(books, one).withColumnRenamed("id", "book_id")
+
+
 def read_books(found: DataFrame, folder: str, namespace: str | None = BOOK_NAMESPACE) -> DataFrame:
-    """Found books -> their text and metadata; what cannot be read has an ``error``.
+    """Numbered found books -> their text and metadata; what cannot be read has an ``error``.
 
-    ``found`` has ``archive, book, title, author, authors`` (null or empty where the
-    catalogue does not know); the archives lie in ``folder``.
+    ``found`` has ``book_id, archive, book, title, author, authors`` (null or empty where
+    the catalogue does not know); the archives lie in ``folder``.
     """
     members = found.select(
         F.concat(F.lit(folder.rstrip("/") + "/"), "archive").alias("path"),
         F.col("book").alias("member"),
-        *KEY,
+        "book_id",
+        *BOOK_KEY,
         F.col("title").alias("known_title"),
         F.col("author").alias("known_author"),
         F.col("authors").alias("known_authors"),
     )
-    content = read_members(members)
-    unreadable = content.where("error IS NOT NULL").drop("content")
-    read = describe(read_markup(content.where("error IS NULL"), namespace=namespace))
+    read = describe(read_archived(members, namespace))
     names = fallback_list(F.col("known_authors"), F.col("authors"))
-    described = read.withColumns(
+    return read.withColumns(
         {
             "title": fallback(F.col("known_title"), F.col("title")),
             "author": fallback(F.col("known_author"), F.array_join(names, ", ")),
             "authors": names,
         }
-    )
-    columns = [*KEY, "uid", "title", "author", "authors", "sample", "error"]
-    return described.select(columns).unionByName(
-        unreadable.select(*KEY, "error"), allowMissingColumns=True
-    )
+    ).select("book_id", *BOOK_KEY, "uid", "title", "author", "authors", "sample", "error")
 
 
 def changes(
@@ -72,14 +75,17 @@ def changes(
     ``encoder`` adds ``embedding`` to rows with ``sample``. ``read`` feeds all tables, so
     write it (or checkpoint it) before: its archives should be read once.
     """
-    # One row per book, so that the tables agree whichever copy was read first.
-    one = latest(read, KEY, F.col("uid"), F.col("title"), F.col("sample"))
-    batch = one.select(*KEY, "uid", "title", "author", F.current_timestamp().alias("added_at"))
-    books = book_changes(library.books, batch)
-    with_id = one.join(books.select(F.col("id").alias("book_id"), *KEY), KEY)
-    vectors = encoder(with_id.select("book_id", "sample")).select("book_id", "embedding")
-    authors, bridge = author_changes(library.authors, with_id.select("book_id", "authors"))
-    return Library(books, vectors, authors, bridge)
+    books = read.select(
+        F.col("book_id").alias("id"),
+        *BOOK_KEY,
+        "uid",
+        "title",
+        "author",
+        F.current_timestamp().alias("added_at"),
+    )
+    vectors = encoder(read.select("book_id", "sample")).select("book_id", "embedding")
+    authors, bridge = author_changes(library.authors, read.select("book_id", "authors"))
+    return Library(books.select(library.books.columns), vectors, authors, bridge)
 
 
 def add_books(
@@ -88,7 +94,7 @@ def add_books(
     """The library after the books of ``read`` were inserted or replaced."""
     new = changes(library, read, encoder)
     return Library(
-        upsert(library.books, new.books, KEY),
+        upsert(library.books, new.books, BOOK_KEY),
         upsert(library.embeddings, new.embeddings, ["book_id"]),
         append(library.authors, new.authors),
         replace_groups(library.book_authors, new.book_authors, "book_id"),
@@ -97,19 +103,16 @@ def add_books(
 
 def backfill_authors(library: Library, folder: str) -> Library:
     """Authors, read from the documents, for books that have none in the bridge table."""
-    open_books = library.books.join(
-        library.book_authors.select(F.col("book_id").alias("id")), "id", "left_anti"
-    )
+    named = library.book_authors.select(F.col("book_id").alias("id"))
+    open_books = library.books.join(named, "id", "left_anti")
     unknown = F.lit(None).cast("string")
     found = open_books.select(
-        *KEY,
+        F.col("id").alias("book_id"),
+        *BOOK_KEY,
         unknown.alias("title"),
         unknown.alias("author"),
         F.lit(None).cast("array<string>").alias("authors"),
     )
-    read = read_books(found, folder).where("error IS NULL").select(*KEY, "authors")
-    ids = open_books.select(F.col("id").alias("book_id"), *KEY)
-    authors, bridge = save_authors(
-        library.authors, library.book_authors, ids.join(read, KEY).select("book_id", "authors")
-    )
+    read = read_books(found, folder).where("error IS NULL").select("book_id", "authors")
+    authors, bridge = save_authors(library.authors, library.book_authors, read)
     return Library(library.books, library.embeddings, authors, bridge)

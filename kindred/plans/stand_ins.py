@@ -134,7 +134,7 @@ def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as book markup: ``doc_id, archive, member, content``, one paragraph per line."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>")))
     content = F.concat(
         F.lit(f'<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="{BOOK_NAMESPACE}">'),

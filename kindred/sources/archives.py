@@ -8,7 +8,7 @@ with an ``error``; the run goes on.
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -48,11 +48,42 @@ def read_members(members: DataFrame) -> DataFrame:
 
     ``members`` needs ``path`` and ``member``; other columns come along.
     """
+    return map_members(
+        members,
+        lambda content, error: {"content": content, "error": error},
+        "content binary, error string",
+    )
+
+
+def map_members(
+    members: DataFrame, handle: Callable[[bytes | None, str | None], dict], fields: str
+) -> DataFrame:
+    """What ``handle`` makes of each member's bytes (or of the error), as columns ``fields``.
+
+    The bytes are handled in the task that reads them, so they are not shipped.
+    """
     carried = [f for f in members.schema.fields if f.name not in ("content", "error")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return _by_member(members.select([f.name for f in carried])).mapInPandas(
-        _read, f"{schema}, content binary, error string"
-    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for row, archive, error in _archives(batches):
+            content = None
+            if archive is not None:
+                try:
+                    content = archive.read(row.member)
+                except Exception as failure:
+                    error = repr(failure)
+            rows.append({**row._asdict(), **handle(content, error)})
+            held += len(content or b"")
+            if held >= BATCH_BYTES or len(rows) >= LINE_BATCH:
+                yield pd.DataFrame(rows)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows)
+
+    placed = _by_member(members.select([f.name for f in carried]))
+    return placed.mapInPandas(run, f"{schema}, {fields}")
 
 
 def read_lines(members: DataFrame) -> DataFrame:
@@ -121,24 +152,6 @@ def _archives(batches: Iterator[pd.DataFrame]):
             handle.__exit__(None, None, None)
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows, held = [], 0
-    for row, archive, error in _archives(batches):
-        content = None
-        if archive is not None:
-            try:
-                content = archive.read(row.member)
-            except Exception as failure:
-                error = repr(failure)
-        rows.append({**row._asdict(), "content": content, "error": error})
-        held += len(content or b"")
-        if held >= BATCH_BYTES or len(rows) >= LINE_BATCH:
-            yield pd.DataFrame(rows)
-            rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows)
-
-
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["archive", "member", "line", "error"]
     for row, archive, error in _archives(batches):

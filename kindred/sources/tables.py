@@ -75,18 +75,27 @@ def highest(table: DataFrame, column: str = "id") -> Column:
     return table.agg(F.coalesce(F.max(column), F.lit(0).cast("long"))).scalar()
 
 
+BOOK_KEY = ["book", "archive"]
+
+
+def book_ids(books: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct (book, archive) keys with an ``id``: the known one, or the next free ones."""
+    # Only books of the batch are grouped: the table itself is not shuffled for a small batch.
+    known = books.join(keys.select(*BOOK_KEY), BOOK_KEY, "left_semi").groupBy(*BOOK_KEY)
+    matched = keys.join(known.agg(F.min("id").alias("id")), BOOK_KEY, "left")
+    new = matched.where(F.col("id").isNull()).drop("id")
+    return matched.where(F.col("id").isNotNull()).unionByName(
+        number(new, BOOK_KEY, highest(books))
+    )
+
+
 def book_changes(books: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows to insert or replace for a batch of books. A known (book, archive) keeps its id.
+    """Rows to insert or replace for a batch of books; a known (book, archive) keeps its id.
 
     ``batch`` has ``book, archive, uid, title, author, added_at``; the latest row counts.
     """
-    key = ["book", "archive"]
-    batch = latest(batch, key, F.desc("added_at"), F.desc("title"), F.desc("uid"), F.desc("author"))
-    # Only books of the batch are grouped: the table itself is not shuffled for a small batch.
-    known = books.join(batch.select(*key), key, "left_semi")
-    matched = batch.join(known.groupBy(*key).agg(F.min("id").alias("id")), key, "left")
-    fresh = number(matched.where(F.col("id").isNull()).drop("id"), key, highest(books))
-    return matched.where(F.col("id").isNotNull()).unionByName(fresh).select(books.columns)
+    order = [F.desc(c) for c in ("added_at", "title", "uid", "author")]
+    return book_ids(books, latest(batch, BOOK_KEY, *order)).select(books.columns)
 
 
 def save_books(books: DataFrame, batch: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred import schemas
-from kindred.plans.ingest import Library, changes, read_books
+from kindred.plans.ingest import Library, changes, read_books, with_ids
 from kindred.session import work_path
 from kindred.sources.archives import ZIP_GLOB, members_of
 from kindred.sources.catalogue import (
@@ -27,7 +27,7 @@ from kindred.sources.tables import VersionedTable
 REJECTED = StructType([StructField(n, StringType()) for n in ("archive", "book", "error")])
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 READ = (
-    "book string, archive string, uid string, title string, author string, "
+    "book_id long, book string, archive string, uid string, title string, author string, "
     "authors array<string>, sample string, error string"
 )
 
@@ -67,16 +67,14 @@ class LibraryStore:
             return
         spark = self.spark
         # The archives are read once, into the shared folder; all tables are made from that.
-        path = work_path(spark, "read")
-        one_each = unseen(found, self.books.read()).dropDuplicates(["book", "archive"])
-        read_books(one_each, folder).write.parquet(path)
-        read = spark.read.schema(READ).parquet(path)
+        library, path = self.read(), work_path(self.spark, "read")
+        numbered = with_ids(unseen(found, library.books), library.books)
+        read_books(numbered, folder).write.parquet(path)
+        read = self.spark.read.schema(READ).parquet(path)
         good, bad = read.where("error IS NULL").drop("error"), read.where("error IS NOT NULL")
         self.rejected.append(bad, token)
-        library = self.read()
-        new = changes(library, good, encoder)
-        self.authors.append(new.authors, token)
-        # From here on author ids come from the table; book ids depend on the keys only.
+        self.authors.append(changes(library, good, encoder).authors, token)
+        # From here on author ids come from the table.
         new = changes(replace(library, authors=self.authors.read()), good, encoder)
         self.book_authors.append(new.book_authors, token)
         self.embeddings.append(new.embeddings, token)
