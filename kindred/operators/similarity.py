@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from kindred.functions.text import author_list
 from kindred.operators import kernel
 from kindred.operators.kernel import Rules
-from kindred.session import parallelism
+from kindred.session import parallelism, union
 
 # Rows per side of a tile: 20,000 x 384 doubles is 61 MB.
 BLOCK_ROWS = 20_000
@@ -97,7 +97,7 @@ def exact_top_k(
         src = src.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
         cand = cand.withColumn("col", _block(spread, cols))
         cand = cand.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-        tiles = src.unionByName(cand)
+        tiles = union(src, cand)
     tiles = tiles.withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int")).drop(
         "row", "col"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 
@@ -39,6 +39,17 @@ def ensure_checkpointing(spark: SparkSession) -> None:
         sc.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
 
 
+def union(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of both tables, columns matched by name.
+
+    Spark 4.1 pairs the partitions of a union's inputs when their partitioning looks alike,
+    and fails when adaptive execution then gives them different partition counts. A plain
+    union needs no pairing, so the session's setting for it is turned off.
+    """
+    one.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return one.unionByName(other)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks the cluster can usefully run at once."""
     return max(
@@ -47,6 +58,14 @@ def parallelism(spark: SparkSession) -> int:
     )
 
 
+def query_id(batch: DataFrame) -> str:
+    """The id Spark keeps in a stream's checkpoint: batch numbers are unique only within it."""
+    found = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise RuntimeError("not called by a streaming query")
+    return found
+
+
 def local_session(cores: str | int = "*", memory: str = "12g") -> SparkSession:
     """Session for tests and the benchmark."""
     n = "8" if cores == "*" else str(cores)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from kindred.session import union
+
 # Hex digits of a key's hash that pick its numbering group: 4,096 groups.
 GROUP_DIGITS = 3
 
@@ -29,7 +31,7 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Insert or replace by key; of several new rows per key the first in order counts."""
     new = latest(new, keys, *order) if order else new
-    return without(old, new, keys).unionByName(new.select(old.columns))
+    return union(without(old, new, keys), new.select(old.columns))
 
 
 def without(old: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +45,7 @@ def replace_groups(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new.select(old.columns))
+    return union(old, new.select(old.columns))
 
 
 def cleared(old: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def book_ids(books: DataFrame, keys: DataFrame) -> DataFrame:
     known = books.join(keys.select(*BOOK_KEY), BOOK_KEY, "left_semi").groupBy(*BOOK_KEY)
     matched = keys.join(known.agg(F.min("id").alias("id")), BOOK_KEY, "left")
     new = matched.where(F.col("id").isNull()).drop("id")
-    return matched.where(F.col("id").isNotNull()).unionByName(
-        number(new, BOOK_KEY, highest(books))
+    return union(
+        matched.where(F.col("id").isNotNull()), number(new, BOOK_KEY, highest(books))
     )
 
 
@@ -115,8 +117,9 @@ def author_changes(authors: DataFrame, batch: DataFrame) -> tuple[DataFrame, Dat
     new = number(names.join(authors, "name", "left_anti"), ["name"], highest(authors))
     new = new.select(authors.columns)
     known = authors.join(names, "name", "left_semi").groupBy("name")
-    ids = known.agg(F.min("id").alias("author_id")).unionByName(
-        new.select("name", F.col("id").alias("author_id"))
+    ids = union(
+        known.agg(F.min("id").alias("author_id")),
+        new.select("name", F.col("id").alias("author_id")),
     )
     return new, named.join(ids, "name").select("book_id", "author_id")
 
@@ -129,7 +132,7 @@ def save_authors(
     A book with an empty list keeps what it had.
     """
     new, rows = author_changes(authors, batch)
-    return authors.unionByName(new), replace_groups(bridge, rows, "book_id")
+    return union(authors, new), replace_groups(bridge, rows, "book_id")
 
 
 def save_feedback(feedback: DataFrame, batch: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 from kindred.operators.edges import PAIR
 from kindred.operators.feedback import FEEDBACK_PAIR, resolve, stored
 from kindred.schemas import COMMANDS, SIMILAR
+from kindred.session import query_id
 from kindred.sources.tables import VersionedTable, without
 
 # ``disliked``: a command of the pair since the last compaction was a dislike.
@@ -105,15 +106,7 @@ def start(
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        store.take(batch, books(), f"{_query_id(batch)}-{number}")
+        store.take(batch, books(), f"{query_id(batch)}-{number}")
 
     writer = commands.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _query_id(batch: DataFrame) -> str:
-    """The id Spark keeps in the checkpoint: batch numbers are unique only within it."""
-    found = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-    if not found:
-        raise RuntimeError("not called by a streaming query")
-    return found

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred import schemas
 from kindred.plans.ingest import Library, changes, read_books, with_ids
-from kindred.session import work_path
+from kindred.session import query_id, union, work_path
 from kindred.sources.archives import ZIP_GLOB, members_of
 from kindred.sources.catalogue import (
     LANGUAGE,
@@ -57,9 +57,12 @@ class LibraryStore:
         folder: str,
         encoder: Callable[[DataFrame], DataFrame],
         token: str,
+        unlisted: DataFrame | None = None,
     ) -> None:
         """Read the found books that are new and append them; the same token twice adds once.
 
+        Documents that cannot be read go to ``rejected``, and so do ``unlisted`` archives.
+
         Books are appended last: until then an interrupted batch is not "seen", and what
         its first attempt wrote is recognised by the token.
         """
@@ -72,7 +75,8 @@ class LibraryStore:
         read_books(numbered, folder).write.parquet(path)
         read = self.spark.read.schema(READ).parquet(path)
         good, bad = read.where("error IS NULL").drop("error"), read.where("error IS NOT NULL")
-        self.rejected.append(bad, token)
+        bad = bad.select(REJECTED.names)
+        self.rejected.append(bad if unlisted is None else union(bad, unlisted), token)
         self.authors.append(changes(library, good, encoder).authors, token)
         # From here on author ids come from the table.
         new = changes(replace(library, authors=self.authors.read()), good, encoder)
@@ -94,17 +98,23 @@ def line_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def books_of_archives(paths: DataFrame) -> DataFrame:
-    return listed_books(members_of(paths))
+Found = tuple[DataFrame, DataFrame | None]
+
+
+def books_of_archives(paths: DataFrame) -> Found:
+    """Books in the archives, and the archives that cannot be listed."""
+    members = members_of(paths)
+    broken = members.where("error IS NOT NULL")
+    return listed_books(members), broken.select("archive", F.col("member").alias("book"), "error")
 
 
-def books_of_lines(lines: DataFrame, language: str = LANGUAGE) -> DataFrame:
-    return catalogue_books(eligible(parse_lines(lines), language))
+def books_of_lines(lines: DataFrame, language: str = LANGUAGE) -> Found:
+    return catalogue_books(eligible(parse_lines(lines), language)), None
 
 
 def start(
     stream: DataFrame,
-    to_books: Callable[[DataFrame], DataFrame],
+    to_books: Callable[[DataFrame], Found],
     folder: str,
     store: LibraryStore,
     encoder: Callable[[DataFrame], DataFrame],
@@ -114,8 +124,8 @@ def start(
     """Add the books of a stream (``archive_stream`` or ``line_stream``) to the library."""
 
     def take(batch: DataFrame, number: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        store.add(to_books(batch), folder, encoder, f"{query}-{number}")
+        found, unlisted = to_books(batch)
+        store.add(found, folder, encoder, f"{query_id(batch)}-{number}", unlisted)
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
