@@ -19,7 +19,7 @@ from kindred.functions import labels, text, vectors  # noqa: E402
 from kindred.functions.display import edge_text  # noqa: E402
 from kindred.operators import edges as edge_ops  # noqa: E402
 from kindred.operators import feedback as feedback_ops  # noqa: E402
-from kindred.operators import judge, reports, rerank  # noqa: E402
+from kindred.operators import judge, lookups, reports, rerank  # noqa: E402
 from kindred.operators.cells import CellIndex, cell_top_k  # noqa: E402
 from kindred.operators.encode import encode_by_words  # noqa: E402
 from kindred.operators.extract import describe, read_markup, sample_plain  # noqa: E402
@@ -107,6 +107,33 @@ def author_bridge(spark: SparkSession, sf: str) -> DataFrame:
     return _author_tables(spark, sf)[1]
 
 
+def books_of_rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Books that occur in any rating."""
+    ids = edge_ops.touched_ids(_feedback(spark, sf), "source_book_id", "candidate_book_id")
+    return lookups.books_by_ids(stand_ins.books(spark, sf), ids)
+
+
+def one_book_per_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as copies of their part's file: one row per file, the lowest id."""
+    rows = stand_ins.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.concat(F.col("l_partkey").cast("string"), F.lit(".fb2")).alias("book"),
+        F.lit("a.zip").alias("archive"),
+        F.lit("t").alias("title"),
+        F.lit(None).cast("string").alias("author"),
+    )
+    return lookups.one_per_file(rows).select("id", "book")
+
+
+def books_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lookups.books_with_vectors(stand_ins.books(spark, sf), stand_ins.vectors(spark, sf))
+    return rows.select("id", "book", "title", "author", F.size("embedding").alias("dimensions"))
+
+
+def vector_count(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.count_vectors(stand_ins.vectors(spark, sf))
+
+
 def book_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Save the catalogue's books over the books with a vector: known ones keep their id."""
     books, vecs = stand_ins.books(spark, sf), stand_ins.vectors(spark, sf)
@@ -308,7 +335,10 @@ def documents_similar(spark: SparkSession, sf: str) -> DataFrame:
     """Documents end to end: sample, encode, similar documents."""
     docs = stand_ins.table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     sampled = sample_plain(stand_ins.spread(docs))
-    items = encode_by_words(sampled).select(
+    # As in a library, vectors are stored once and searched from there.
+    path = work_path(spark, "encoded")
+    encode_by_words(sampled).select("doc_id", "lang", "embedding").write.parquet(path)
+    items = spark.read.parquet(path).select(
         F.col("doc_id").alias("id"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".fb2")).alias("file"),
         F.lit(None).cast("string").alias("title"),
@@ -535,6 +565,7 @@ def embed_words(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     catalogue_parse, incremental_new_books, author_dim, author_bridge, book_upsert,
+    books_of_rated, one_book_per_file, books_with_vectors, vector_count,
     paragraph_sample, fb2_extract, page_extract, archive_listing, stream_ingest,
     vector_norm, blob_round_trip, cosine_pairs,
     topk_exact_raw, topk_dedup, topk_first_title, topk_other_authors, topk_overfetch,

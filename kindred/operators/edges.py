@@ -55,7 +55,8 @@ def with_boost(edges: DataFrame, feedback: DataFrame, factor: float = BOOST_FACT
 
 def stored_score(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs with the score of their edge, 0 when there is no such edge."""
-    known = latest(edges.select(*PAIR, "score"), PAIR, F.desc("score"))
+    asked = edges.join(pairs.select(*PAIR).distinct(), PAIR, "left_semi")
+    known = latest(asked.select(*PAIR, "score"), PAIR, F.desc("score"))
     joined = pairs.join(known.withColumnRenamed("score", "_score"), PAIR, "left")
     return joined.withColumn("stored_score", F.coalesce("_score", F.lit(0.0))).drop("_score")
 

@@ -17,7 +17,11 @@ def resolve(commands: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
 
     A file name that several books carry means the lowest id.
     """
-    ids = books.groupBy("book").agg(F.min("id").alias("id"))
+    # Only books that are named are grouped, so a small batch does not shuffle the table.
+    names = commands.select(
+        F.explode(F.array("source_file_name", "candidate_file_name")).alias("book")
+    ).distinct()
+    ids = books.join(names, "book", "left_semi").groupBy("book").agg(F.min("id").alias("id"))
     source = ids.select(
         F.col("book").alias("source_file_name"), F.col("id").alias("source_book_id")
     )

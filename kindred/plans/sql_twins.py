@@ -167,6 +167,21 @@ TWINS = {
         "author_ids",
         "SELECT n.book_id, a.id AS author_id FROM names n JOIN author_ids a ON a.name = n.name",
     ),
+    "books_of_rated": _using(
+        "books feedback",
+        """
+        SELECT id, book, archive, title, author FROM books
+        WHERE id IN (SELECT source_book_id FROM feedback UNION SELECT candidate_book_id FROM feedback)""",
+    ),
+    "one_book_per_file": """
+        SELECT min(l_orderkey) AS id, l_partkey || '.fb2' AS book FROM lineitem GROUP BY l_partkey""",
+    "books_with_vectors": _using(
+        "books vectors",
+        """
+        SELECT b.id, b.book, b.title, b.author, len(v.embedding) AS dimensions
+        FROM books b JOIN vectors v ON v.book_id = b.id""",
+    ),
+    "vector_count": "SELECT count(*) AS n FROM embeddings",
     "book_upsert": _using(
         "catalogue with_vector",
         """

@@ -7,6 +7,7 @@ with an ``error``; the run goes on.
 
 from __future__ import annotations
 
+import math
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -22,6 +23,8 @@ ZIP_GLOB = "*.[zZ][iI][pP]"
 
 MEMBER_SCHEMA = "path string, archive string, member string, size long, error string"
 LINE_BATCH = 10_000
+# Members one task reads: some GB of books.
+MEMBERS_PER_TASK = 2_000
 # Bytes of members handed to Spark at a time; one larger member forms its own batch.
 BATCH_BYTES = 16 << 20
 
@@ -46,7 +49,8 @@ def members_of(paths: DataFrame) -> DataFrame:
 def read_members(members: DataFrame) -> DataFrame:
     """Bytes of every listed member: the listing's columns plus ``content``, ``error``.
 
-    ``members`` needs ``path`` and ``member``; other columns come along.
+    ``members`` needs ``path`` and ``member``; other columns come along. It is looked at more
+    than once before the reading starts, so write a long listing to a table first.
     """
     return map_members(
         members,
@@ -101,8 +105,9 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _by_member(members: DataFrame) -> DataFrame:
     # A range over (path, member) gives even tasks whatever the archives' sizes, and keeps
     # the members of an archive together. The number is explicit: rows are small here, the
-    # work behind them is not, so the partitions must not be merged by their size.
-    n = parallelism(members.sparkSession)
+    # work behind them is not, so the partitions must not be merged by their size; and a
+    # task that is lost should not take hours of work with it.
+    n = max(parallelism(members.sparkSession), math.ceil(members.count() / MEMBERS_PER_TASK))
     return members.repartitionByRange(n, "path", "member").sortWithinPartitions("path", "member")
 
 

@@ -71,8 +71,9 @@ class LibraryStore:
         spark = self.spark
         # The archives are read once, into the shared folder; all tables are made from that.
         library, path = self.read(), work_path(self.spark, "read")
-        numbered = with_ids(unseen(found, library.books), library.books)
-        read_books(numbered, folder).write.parquet(path)
+        listing = work_path(self.spark, "found")
+        with_ids(unseen(found, library.books), library.books).write.parquet(listing)
+        read_books(self.spark.read.parquet(listing), folder).write.parquet(path)
         read = self.spark.read.schema(READ).parquet(path)
         good, bad = read.where("error IS NULL").drop("error"), read.where("error IS NOT NULL")
         bad = bad.select(REJECTED.names)

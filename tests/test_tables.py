@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import edges as E
 from kindred.operators import feedback as fb
-from kindred.operators import judge, rerank, reports
+from kindred.operators import judge, lookups, rerank, reports
 from kindred.plans.similar import bulk_edges, similar_books
 from kindred.schemas import AUTHORS, BOOK_AUTHORS, BOOKS, COMMANDS, FEEDBACK, SIMILAR
 from kindred.sources import feedback_json, tables
@@ -276,3 +276,18 @@ def test_feedback_stream(spark, books, tmp_path):
     store.take(batch, books, "q-1")
     store.take(batch, books, "q-1")
     assert store.log.read().where("source_book_id = 1 AND candidate_book_id = 3").count() == 1
+
+
+def test_lookups(spark, books):
+    assert lookups.book_by_file(books, "1.fb2").first().id == 1
+    assert lookups.book_by_file(books, "no.fb2").count() == 0
+    assert lookups.book_by_id(books, 4).first().archive == "b"
+    ids = spark.createDataFrame([(2,), (4,), (77,)], "id long")
+    assert {r.id for r in lookups.books_by_ids(books, ids).collect()} == {2, 4}
+    assert lookups.books_by_ids(books, ids.limit(0)).count() == 0
+    assert lookups.vector_of(vectors(spark), 2).count() == 1 and lookups.vector_of(vectors(spark), 9).count() == 0
+    assert {r.id for r in lookups.one_per_file(books).collect()} == {1, 2, 3}
+    assert lookups.file_names(books).count() == 3
+    assert lookups.books_with_vectors(books, vectors(spark)).count() == 4
+    feedback = spark.createDataFrame([(1, 1, 2, 0.5, at(0)), (2, 3, 4, 1.0, at(0))], FEEDBACK)
+    assert lookups.feedback_of(feedback, 3).first().candidate_book_id == 4
