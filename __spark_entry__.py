@@ -6,6 +6,7 @@ can state; approximate search, learnt models and web-page recovery have none.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
@@ -32,7 +33,7 @@ from kindred.operators.similarity import (  # noqa: E402
 from kindred.plans import stand_ins  # noqa: E402
 from kindred.plans.similar import ANN, bulk_edges, search, similar_books  # noqa: E402
 from kindred.schemas import AUTHORS, BOOK_AUTHORS, FEEDBACK, FEEDBACK_JSON  # noqa: E402
-from kindred.session import work_path  # noqa: E402
+from kindred.session import ship, work_path  # noqa: E402
 from kindred.sources import feedback_json, tables  # noqa: E402
 from kindred.sources.archives import list_members  # noqa: E402
 from kindred.sources.catalogue import (  # noqa: E402
@@ -579,13 +580,22 @@ QUERIES = [
 ]
 
 
+def _with_package(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Similar books of every book, as a reader sees them."""
-    return bulk_ranked_view(spark, "/root/testdata/sf0.001")
+    return queries()["bulk_ranked_view"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: _with_package(query) for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

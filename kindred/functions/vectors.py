@@ -52,8 +52,18 @@ def normalise(v: Column | str, zero_as_null: bool = True) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity for vectors of any length; null when either has no direction."""
-    norms = l2_norm(a) * l2_norm(b)
-    return F.when(has_direction(a) & has_direction(b), dot(a, b) / norms)
+    # One struct per pair, so that each norm is computed once.
+    parts = F.struct(dot(a, b).alias("d"), l2_norm(a).alias("a"), l2_norm(b).alias("b"))
+    return F.element_at(
+        F.transform(
+            F.array(parts),
+            lambda p: F.when(
+                (p["a"] >= F.lit(MIN_NORM)) & (p["b"] >= F.lit(MIN_NORM)),
+                p["d"] / (p["a"] * p["b"]),
+            ),
+        ),
+        1,
+    )
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a small file with one row group, over all tasks."""
-    return rows.repartition(parallelism(rows.sparkSession))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_shipped_to: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +61,25 @@ def parallelism(spark: SparkSession) -> int:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run; once per application.
+
+    Not needed where the package is installed or given with ``--py-files``.
+    """
+    global _shipped_to
+    sc = spark.sparkContext
+    if _shipped_to == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    # Spark copies the file to its own store when it is added.
+    target = Path(tempfile.mkdtemp(prefix="kindred-")) / "kindred.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    _shipped_to = sc.applicationId
+
+
 def query_id(batch: DataFrame) -> str:
     """The id Spark keeps in a stream's checkpoint: batch numbers are unique only within it."""
     found = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
