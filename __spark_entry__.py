@@ -33,7 +33,7 @@ from kindred.operators.similarity import (  # noqa: E402
 from kindred.plans import stand_ins  # noqa: E402
 from kindred.plans.similar import ANN, bulk_edges, search, similar_books  # noqa: E402
 from kindred.schemas import AUTHORS, BOOK_AUTHORS, FEEDBACK, FEEDBACK_JSON  # noqa: E402
-from kindred.session import ship, work_path  # noqa: E402
+from kindred.session import ship, stage, work_path  # noqa: E402
 from kindred.sources import feedback_json, tables  # noqa: E402
 from kindred.sources.archives import list_members  # noqa: E402
 from kindred.sources.catalogue import (  # noqa: E402
@@ -337,9 +337,8 @@ def documents_similar(spark: SparkSession, sf: str) -> DataFrame:
     docs = stand_ins.table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     sampled = sample_plain(stand_ins.spread(docs))
     # As in a library, vectors are stored once and searched from there.
-    path = work_path(spark, "encoded")
-    encode_by_words(sampled).select("doc_id", "lang", "embedding").write.parquet(path)
-    items = spark.read.parquet(path).select(
+    encoded = stage(encode_by_words(sampled).select("doc_id", "lang", "embedding"), "encoded")
+    items = encoded.select(
         F.col("doc_id").alias("id"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".fb2")).alias("file"),
         F.lit(None).cast("string").alias("title"),

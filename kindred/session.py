@@ -35,6 +35,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a table in the shared folder: computed once, read as often as needed.
+
+    Staged tables are left behind; let the folder's own retention remove them.
+    """
+    spark, path = rows.sparkSession, work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def ensure_checkpointing(spark: SparkSession) -> None:
     """Give ``checkpoint()`` (and ml's iterative fits) the shared folder."""
     sc = spark.sparkContext

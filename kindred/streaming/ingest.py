@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred import schemas
 from kindred.plans.ingest import Library, changes, read_books, with_ids
-from kindred.session import query_id, union, work_path
+from kindred.session import query_id, stage, union
 from kindred.sources.archives import ZIP_GLOB, members_of
 from kindred.sources.catalogue import (
     LANGUAGE,
@@ -26,10 +26,6 @@ from kindred.sources.tables import VersionedTable
 
 REJECTED = StructType([StructField(n, StringType()) for n in ("archive", "book", "error")])
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
-READ = (
-    "book_id long, book string, archive string, uid string, title string, author string, "
-    "authors array<string>, sample string, error string"
-)
 
 
 class LibraryStore:
@@ -70,11 +66,10 @@ class LibraryStore:
             return
         spark = self.spark
         # The archives are read once, into the shared folder; all tables are made from that.
-        library, path = self.read(), work_path(self.spark, "read")
-        listing = work_path(self.spark, "found")
-        with_ids(unseen(found, library.books), library.books).write.parquet(listing)
-        read_books(self.spark.read.parquet(listing), folder).write.parquet(path)
-        read = self.spark.read.schema(READ).parquet(path)
+        library = self.read()
+        new = stage(unseen(found, library.books), "found")
+        numbered = stage(with_ids(new, library.books), "numbered")
+        read = stage(read_books(numbered, folder), "read")
         good, bad = read.where("error IS NULL").drop("error"), read.where("error IS NOT NULL")
         bad = bad.select(REJECTED.names)
         self.rejected.append(bad if unlisted is None else union(bad, unlisted), token)
@@ -104,7 +99,7 @@ Found = tuple[DataFrame, DataFrame | None]
 
 def books_of_archives(paths: DataFrame) -> Found:
     """Books in the archives, and the archives that cannot be listed."""
-    members = members_of(paths)
+    members = stage(members_of(paths), "listed")
     broken = members.where("error IS NOT NULL")
     return listed_books(members), broken.select("archive", F.col("member").alias("book"), "error")
 
