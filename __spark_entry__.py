@@ -45,6 +45,14 @@ from kindred.sources.catalogue import (  # noqa: E402
 from kindred.streaming import feedback as feedback_stream  # noqa: E402
 from kindred.streaming import ingest as ingest_stream  # noqa: E402
 
+try:  # the operators for training text can be left out
+    import corpus_pipeline
+    from kindred.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "kindred.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 K = 10
 URL = stand_ins.LIBRARY_URL
 
@@ -594,10 +602,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: _with_package(query) for query in QUERIES}
+    found = {query.__name__: _with_package(query) for query in QUERIES}
+    if llm_queries is not None:
+        found |= {query.__name__: _with_package(query) for query in llm_queries.QUERIES}
+        found["pipeline"] = _with_package(corpus_pipeline.run)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     from kindred.plans.sql_twins import TWINS
 
-    return dict(TWINS)
+    found = dict(TWINS)
+    if llm_queries is not None:
+        found |= llm_queries.TWINS
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
