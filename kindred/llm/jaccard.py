@@ -4,11 +4,11 @@ Two texts link when their sets of word shingles have a Jaccard similarity of at
 ``percent`` / 100. Steps:
 
 1. A text's set is cut into parts by a hash of the shingle. Linked sets differ in at most
-   ``(100 - percent) * smaller / percent`` shingles, so of more parts than that one is the same
-   in both, whatever the sets. Texts that share a part's signature are candidates; a chunk of
-   texts first links its own, so that of a group of copies each chunk sends one.
-2. Candidates form groups. Exact copies are one member. A group goes to one task, a large one in
-   tiles of two bounded parts, so that every pair meets and no task holds more than two parts.
+   ``(100 - percent) * smaller / percent`` shingles; the other parts are the same in both, whatever the
+   sets. So a set that links has at least as many signatures of parts in common with other sets
+   as it has parts beyond that number; sets with fewer go no further. Exact copies are one set.
+2. Sets that share a signature form groups. A group goes to one task, a large one in tiles of two
+   bounded parts, so that every pair meets and no task holds more than two parts.
 3. In a task the shingles of the group have inverted lists. For each text, shortest first, the
    short lists are merged, documents that reach the threshold less the number of long lists are
    probed in those by binary search (DivideSkip), and those that reach the required overlap link.
@@ -46,52 +46,54 @@ class Bands:
             tops.append(max(tops[-1] + 1, int(tops[-1] * ratio)))
         self.tops = np.array(tops, np.int64)
         self.apart = (100 - percent) * self.tops // percent  # shingles that linked sets may differ in
-        self.parts = self.apart + 1 + np.maximum(2, self.apart // 16)
+        self.parts = self.apart + 1 + np.maximum(2, self.apart // 4)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.tops, sizes)
 
 
-def signatures(made: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) for the sets of a chunk: of every part, in the set's own range of sizes and
-    in the one below if a smaller partner can be there. Empty parts have a signature only in sets
-    where those with shingles are too few to settle the matter."""
+def signatures(made: np.ndarray, begin: np.ndarray, bands: Bands, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(signature, row, how many of a row's a partner must share) for some sets of a chunk: of every part,
+    in the set's own range of sizes, and then in the one below for those with smaller partners
+    there. Empty parts have a signature only in sets where those with shingles settle nothing."""
     sizes = np.diff(begin)
     own = bands.of(sizes)
-    rows = np.flatnonzero(sizes > 0)
+    rows = rows[sizes[rows] > 0]
     below = rows[(own[rows] > 0) & (-(-bands.percent * sizes[rows] // 100) <= bands.tops[np.maximum(own[rows] - 1, 0)])]
-    who = np.concatenate([rows, below])
-    band = np.concatenate([own[rows], own[below] - 1])
-    parts = bands.parts[band]
-    base = np.cumsum(parts) - parts
-    # Every shingle of every set in `who`.
-    many = sizes[who]
-    at = np.repeat(begin[who] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    entry = np.repeat(np.arange(len(who)), many)
-    value = mix(made[at] ^ SECOND)
-    cell = base[entry] + (made[at] % parts[entry].astype(np.uint64)).astype(np.int64)
-    total = int(parts.sum())
-    sums = np.zeros(total, np.uint64)
-    np.add.at(sums, cell, value)
-    filled = np.bincount(cell, minlength=total)
-    owner = np.repeat(np.arange(len(who)), parts)
-    held = np.zeros(len(who), np.int64)
-    np.add.at(held, owner, filled > 0)
-    keep = (filled > 0) | (held <= bands.apart[band])[owner]
-    number = np.arange(total) - base[owner]
-    label = (band[owner] << np.int64(40)) + number
-    sig = mix(sums + mix(label.astype(np.uint64) + filled.astype(np.uint64) * SECOND))
-    return sig[keep].view(np.int64), who[owner[keep]]
+    for who, band in ((rows, own[rows]), (below, own[below] - 1)):
+        parts = bands.parts[band]
+        base = np.cumsum(parts) - parts
+        # Every shingle of every set in `who`.
+        many = sizes[who]
+        at = np.repeat(begin[who] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        entry = np.repeat(np.arange(len(who)), many)
+        cell = base[entry] + (made[at] % parts[entry].astype(np.uint64)).astype(np.int64)
+        total = int(parts.sum())
+        sums = np.zeros(total, np.uint64)
+        np.add.at(sums, cell, mix(made[at] ^ SECOND))
+        filled = np.bincount(cell, minlength=total)
+        owner = np.repeat(np.arange(len(who)), parts)
+        need = np.bincount(owner, weights=filled > 0, minlength=len(who)).astype(np.int64) - bands.apart[band]
+        keep = (filled > 0) | (need <= 0)[owner]
+        label = (band[owner] << np.int64(40)) + np.arange(total) - base[owner]
+        sig = mix(sums + mix(label.astype(np.uint64) + filled.astype(np.uint64) * SECOND))
+        yield sig[keep].view(np.int64), who[owner[keep]], np.maximum(need, 0)[owner[keep]]
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, one, two, sigs, near): size and 128-bit digest of a text's set, the signatures that no
-    earlier text of its chunk has, and the earlier texts of the chunk that share one."""
+    """(id, n, one, two, own, own_need, lower, lower_need): size and 128-bit digest of a text's set, and its
+    signatures with the number that a partner must share. Of copies in a chunk one has signatures."""
     bands = Bands(percent)
 
+    def lists(sig, who, need, rows):
+        order = np.argsort(who, kind="stable")
+        cuts = np.searchsorted(who[order], np.arange(rows + 1))
+        first = np.zeros(rows, np.int64)
+        first[who] = need
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sig[order])), pa.array(first)
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column(0).is_valid())
             for first, made, begin in shingles(batch.column(1), width):
                 rows = len(begin) - 1
@@ -100,33 +102,29 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 row = np.repeat(np.arange(rows), sizes)
                 np.add.at(one, row, mix(made))
                 np.add.at(two, row, mix(made ^ SECOND))
-                here = known[first : first + rows]
-                own = np.where(here, ids[first : first + rows], 0).astype(np.int64)
-                sig, who = signatures(made, begin, bands)
-                sig, who = sig[here[who]], who[here[who]]
-                _, lead, inverse = np.unique(sig, return_index=True, return_inverse=True)
-                mate = who[lead][inverse]
-                fresh = mate == who
-                lead_only = np.zeros(len(sig), bool)
-                lead_only[lead] = True
-                sig, whose = sig[lead_only], who[lead_only]
-                order = np.argsort(whose, kind="stable")
-                cuts = np.searchsorted(whose[order], np.arange(rows + 1))
-                pair = np.unique(who[~fresh] * np.int64(rows) + mate[~fresh])
-                near = np.searchsorted(pair // max(rows, 1), np.arange(rows + 1))
+                here = np.flatnonzero(known[first : first + rows])
+                here = here[np.unique(one[here] ^ mix(two[here]), return_index=True)[1]]
+                own, lower = (lists(*found, rows) for found in signatures(made, begin, bands, here))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, rows),
-                        pa.array(sizes),
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sig[order])),
-                        pa.ListArray.from_arrays(pa.array(near, pa.int32()), pa.array(own[pair % max(rows, 1)])),
-                    ],
-                    ["id", "n", "one", "two", "sigs", "near"],
+                    [batch.column(0).slice(first, rows), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *own, *lower],
+                    ["id", "n", "one", "two", "own", "own_need", "lower", "lower_need"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, one long, two long, sigs array<long>, near array<long>")
+    return docs.mapInArrow(run, "id long, n long, one long, two long, own array<long>, own_need long, lower array<long>, lower_need long")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(node, component): groups of sets that share signatures, by half of their digest. (Two sets with
+    the same half are in one group, which only makes it larger.)"""
+    code = lambda column, kind: (F.col(column) * 2 + kind).alias("need")
+    rows = sets.select(F.col("one").alias("node"), F.explode("own").alias("sig"), code("own_need", 0))
+    rows = rows.unionAll(sets.select(F.col("one").alias("node"), F.explode("lower").alias("sig"), code("lower_need", 1)))
+    same = Window.partitionBy("sig")
+    met = rows.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+    met = staged(met.where("low < high").select("sig", "node", "need").distinct(), "shared")
+    enough = met.groupBy("node", "need").count().where(F.col("count") * 2 >= F.col("need") - F.col("need") % 2)
+    kept = met.join(enough.select("node").distinct(), "node", "left_semi").withColumn("low", F.min("node").over(same))
+    return staged(components(kept.select(F.col("node").alias("a"), F.col("low").alias("b"))), "groups")
 
 
 class Forest:
@@ -247,15 +245,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = staged(described(picked, width, percent), "sets")
     real = sets.where("n > 0 AND id IS NOT NULL")
     # Exact copies of a set: the smallest id stands for them.
-    same = Window.partitionBy("sig")
-    by_sig = real.select("id", F.explode("sigs").alias("sig"))
-    met = by_sig.withColumn("low", F.min("id").over(same)).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    near = real.select(F.col("id").alias("a"), F.explode("near").alias("b"))
-    groups = staged(components(met.unionAll(near)).withColumnRenamed("node", "id"), "groups")
-    first = real.groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
-    members = groups.join(real.select("id", "n", "one", "two"), "id").groupBy("n", "one", "two")
-    # One member for each set of a group; copies are always in one group, for they share signatures.
-    members = staged(members.agg(F.min("id").alias("id"), F.min("component").alias("grp")), "members")
+    first = staged(real.groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "first")
+    groups = candidates(real).select(F.col("node").alias("one"), F.col("component").alias("grp"))
+    members = first.join(groups, "one").select("grp", F.col("rep").alias("id"), "n")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("many")).where("many > 1")
     cut = members.join(totals, "grp").withColumn("parts", F.ceil(F.col("total") / PART).cast("int"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
