@@ -7,6 +7,7 @@ named by ``spark.checkpoint.dir`` and read again, so a lost executor costs only
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kindred.session import shared_dir, ship, stage
 
-__all__ = ["table", "staged", "spans_of_text", "pieces", "mix", "components", "shared_dir", "fold"]
+__all__ = ["table", "staged", "spans_of_text", "pieces", "mix", "components", "shared_dir", "fold", "release"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,13 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return stage(rows, f"llm-{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no table needs any more: it does so when the driver's JVM
+    collects what refers to them, which may otherwise be long after a large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo ``parts``; the fold of a null id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts

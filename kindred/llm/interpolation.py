@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, mix, spans_of_text, staged
+from kindred.llm.common import fold, mix, release, spans_of_text, staged
 from kindred.llm.shingles import STEP, words
 from kindred.session import parallelism
 
@@ -31,21 +31,40 @@ from kindred.session import parallelism
 END = np.uint64(0x0123456789ABCDEF)
 #: Least tokens of a block, n-grams of a range that pay for a row, bins of a doubling, rounds of EM,
 #: and parts of a block that are deleted in turn.
-LEAST_BLOCK, PER_RANGE, BINS, ROUNDS, DELETED = 3_000_000, 500, 8, 60, 4
+LEAST_BLOCK, PER_RANGE, BINS, ROUNDS, DELETED = 1_250_000, 500, 8, 60, 4
 HELD_PARTS, HELD = 5, 1
 
 
 def _pack(x: np.ndarray) -> bytes:
-    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return kind.char.encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+    """Whole numbers, byte by byte of their order of magnitude, so that small ones take little room."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), np.dtype(data[:1].decode())).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes: the upper bytes hardly change from one to the next."""
+    planes = np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T)
+    upper = zlib.compress(planes[:3].tobytes(), 1)
+    return len(upper).to_bytes(4, "little") + upper + planes[3:].tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    upper = np.frombuffer(zlib.decompress(data[4 : 4 + n]), np.uint8)
+    planes = np.concatenate([upper, np.frombuffer(data[4 + n :], np.uint8)]).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
 
 
 def _blocks(docs: DataFrame, most: int) -> DataFrame:
-    """(block, ids, held, ends, tokens, words): texts as places in the block's sorted word hashes."""
+    """(block, ids, held, ends, tokens, words): texts as places in the block's word hashes."""
 
     def run(batches):
         parts, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -53,7 +72,11 @@ def _blocks(docs: DataFrame, most: int) -> DataFrame:
         def flush():
             nonlocal number
             ids, held, ends, code = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            words_, tokens = np.unique(code, return_inverse=True)
+            words_, tokens, many = np.unique(code, return_inverse=True, return_counts=True)
+            common = np.argsort(-many, kind="stable")  # the commonest word is 0
+            words_, place = words_[common], np.empty(len(common), np.int64)
+            place[common] = np.arange(len(common))
+            tokens = place[tokens]
             valid = np.concatenate([p[4] for p in parts])
             number += 1
             return pa.RecordBatch.from_arrays(
@@ -95,7 +118,7 @@ class Block:
         self.ids, self.held, self.ends = ids, np.array(held, bool), np.array(ends, np.int64)
         self.tokens = _unpack(tokens)
         named = np.frombuffer(words_, np.uint64)
-        end = int(np.searchsorted(named, END))
+        end = int(np.flatnonzero(named == END)[0])
         sizes = np.diff(self.ends, prepend=0)
         self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.before = np.empty_like(self.tokens)  # the context of each token
@@ -131,7 +154,7 @@ def _asked(blocks: DataFrame, bits: int) -> DataFrame:
                     [
                         pa.array(found, pa.int64()),
                         pa.array([batch.column(0)[r].as_py()] * len(found), pa.int64()),
-                        pa.array([b.keys[edges[p] : edges[p + 1]].tobytes() for p in found], pa.binary()),
+                        pa.array([_pack_keys(b.keys[edges[p] : edges[p + 1]]) for p in found], pa.binary()),
                         pa.array([_pack(b.own[edges[p] : edges[p + 1]]) for p in found], pa.binary()),
                     ],
                     ["part", "block", "keys", "own"],
@@ -148,7 +171,7 @@ def _totals(asked: DataFrame) -> DataFrame:
         part, rows = None, []
 
         def flush():
-            keys = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
+            keys = [_unpack_keys(k) for _, k, _ in rows]
             own = [_unpack(o) for _, _, o in rows]
             unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.zeros(len(unique), np.int64)
@@ -258,6 +281,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     blocks = staged(_blocks(texts.select("doc_id", "text", "held"), most), "blocks")
     bits = max(0, min(size, most) // (4 * PER_RANGE)).bit_length()
     totals = staged(_totals(_asked(blocks, bits)), "totals")
+    release(docs.sparkSession)
     sums = totals.where("block IS NULL").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = sums[0] or 0, sums[1] or 0
 
@@ -278,6 +302,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
         return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(many, pa.int64())], ["bin", "many"])
 
     seen = _joined(blocks, totals, bins, "bin long, many long").groupBy("bin").agg(F.sum("many").alias("many")).collect()
+    release(docs.sparkSession)
     weights = _weights([(r[0] >> 21, (r[0] & 32767) - 16384, (r[0] >> 15) & 63, r[1]) for r in seen], tokens, kinds)
 
     def score(b: Block, counts: np.ndarray) -> pa.RecordBatch:
