@@ -28,7 +28,7 @@ from kindred.llm.common import mix, pieces, spans_of_text
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Bytes of the texts that are scanned at once, and entries of a worker's cache of pieces.
 CHUNK_BYTES = 1 << 20
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Fixed values of the pre-token pattern: white space and contractions.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
@@ -151,15 +151,20 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[parts[i]] for i in range(n) if alive[i])
 
 
-@lru_cache(1)
+_powers: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A value for each byte, and the powers of an odd base and of its inverse modulo 2^64."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    value = mix(np.arange(1, 257, dtype=np.uint64))
-    up, down = np.full(n + 1, base), np.full(n + 1, inverse)
-    up[0] = down[0] = 1
-    return value, np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """A value for each byte, and at least n powers of an odd base and of its inverse modulo 2^64."""
+    if not _powers or len(_powers[1]) < n:
+        base = np.uint64(0x9E3779B97F4A7C15)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        up, down = np.full(n, base), np.full(n, inverse)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
+        _powers[:] = [mix(np.arange(1, 257, dtype=np.uint64)), up, down]
+    return _powers[0], _powers[1], _powers[2]
 
 
 class Chunk:
@@ -185,7 +190,7 @@ class Chunk:
         self.rows = np.searchsorted(found, begin)
         self.at = heads[found]
         ends = np.append(self.at[1:], len(raw))
-        value, up, down = powers(1 << max(20, (len(raw) + 1).bit_length()))
+        value, up, down = powers(len(raw) + (1 << 18))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(value[held] * up[: len(raw)], out=sums[1:])
         code = mix((sums[ends] - sums[self.at]) * down[self.at] + (ends - self.at).astype(np.uint64))

@@ -32,7 +32,7 @@ from kindred.llm.common import mix, pieces, spans_of_text, staged
 from kindred.session import parallelism
 
 #: Bytes of the rolling hash, of texts parsed at once, and of phrases whose suffixes are sorted at once.
-GRAM, CHUNK_BYTES, SORT_BYTES = 24, 1 << 21, 1 << 21
+GRAM, CHUNK_BYTES, SORT_BYTES = 24, 1 << 20, 1 << 20
 
 
 def parsed(held: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -42,7 +42,7 @@ def parsed(held: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray
     n, gram = len(held), min(GRAM, length)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 4))
-    value, up, down = powers(1 << max(20, (n + 1).bit_length()))
+    value, up, down = powers(n + (1 << 18))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value[held] * up[:n], out=sums[1:])
     grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from kindred.llm.bpe import powers
 from kindred.llm.common import mix, pieces, spans_of_text
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that end a word: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -24,7 +24,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
         held = LOWER[data[offsets[first] : offsets[last]]]
         begin = offsets[first : last + 1] - offsets[first]
         n = len(held)
-        value, up, down = powers(1 << max(20, (n + 1).bit_length()))
+        value, up, down = powers(n + (1 << 18))
         inside = ~WHITE[held]
         opens = inside.copy()
         opens[1:] &= WHITE[held[:-1]]
