@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kindred.functions.text import strip
+
 # Fixed values of the rating scale.
 STAR_STEP = 0.2
 DISLIKE = -1.0
@@ -24,7 +26,7 @@ def stars_of_label(label: Column) -> Column:
 
 def judge_label(answer: Column) -> Column:
     """A judge's answer 0..100 as a label; null unless the answer is one whole number."""
-    text = F.btrim(answer)
+    text = strip(answer)
     return F.when(
         text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint").cast("double") / F.lit(100.0)
     )
