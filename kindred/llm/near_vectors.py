@@ -12,11 +12,13 @@ spanning forest of its links, never the pairs.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from kindred.llm.common import components, staged
 from kindred.llm.jaccard import Forest
@@ -27,6 +29,8 @@ from kindred.session import parallelism
 #: summed by the end of each step.
 BLOCK, STRIP, BOX = 2048, 8, 8
 STEPS = (8, 16, 32)
+#: Numbers that a step of a comparison holds at once, whatever the length of the vectors.
+CELLS = 1 << 19
 SLACK = 1e-9
 
 
@@ -78,8 +82,9 @@ def _digested(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "x").mapInArrow(run, "id long, one long, two long, ok boolean")
 
 
-def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int) -> DataFrame:
-    """(block, size, ids, many, data, low, high) of rows (id, many, x), sorted along the first axis."""
+def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int, kind: str) -> DataFrame:
+    """(block, size, ids, many, data, low, high) of rows (id, many, x), sorted along the first axis.
+    The components lie in ``data`` as numbers of that kind."""
 
     def first_axis(batches):
         for batch in batches:
@@ -98,7 +103,7 @@ def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int) -> DataFr
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(ids[0])]), pa.array([size]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([many.tolist()], pa.list_(pa.int64())),
-                    pa.array([x.tobytes()], pa.binary()), pa.array([y.min(0).tolist()], pa.list_(pa.float64())), pa.array([y.max(0).tolist()], pa.list_(pa.float64())),
+                    pa.array([x.astype(kind).tobytes()], pa.binary()), pa.array([y.min(0).tolist()], pa.list_(pa.float64())), pa.array([y.max(0).tolist()], pa.list_(pa.float64())),
                 ],
                 ["block", "size", "ids", "many", "data", "low", "high"],
             )
@@ -128,45 +133,67 @@ def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int) -> DataFr
 class Side:
     """A block in a tile: unit vectors, their places on the axes and the norms of what follows each step."""
 
-    def __init__(self, size: int, ids, many, data: bytes, turned: np.ndarray):
+    def __init__(self, size: int, ids, many, data: bytes, turned: np.ndarray, kind: str):
         self.ids, self.many = np.array(ids, np.int64), np.array(many, np.int64)
-        self.x = np.frombuffer(data, np.float64).reshape(-1, size)
+        self.x = np.frombuffer(data, kind).reshape(-1, size).astype(np.float64)
         self.norms = np.linalg.norm(self.x, axis=1)
         self.y = (self.x / self.norms[:, None]) @ turned
         squares = np.cumsum(self.y[:, ::-1] ** 2, axis=1)[:, ::-1]
-        self.after = {s: np.sqrt(squares[:, s]) if s < size else np.zeros(len(self.x)) for s in STEPS}
-
-
-def linked(a: Side, b: Side, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) with a cosine of the threshold or more; in one block each pair once."""
-    size = a.x.shape[1]
-    i = j = part = None
-    done = 0
-    for step in STEPS:
-        stop = min(step, size)
-        if stop == done:
-            break
-        if i is None:
-            sums = a.y[:, :stop] @ b.y[:, :stop].T
-            keep = sums + a.after[step][:, None] * b.after[step][None, :] >= threshold - SLACK
-            i, j = np.nonzero(np.triu(keep, 1) if same else keep)
-            part = sums[i, j]
-        else:
-            kept = []
-            for s in range(0, len(i), 1 << 18):
-                p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-                sums = part[s : s + (1 << 18)] + np.einsum("ij,ij->i", a.y[p, done:stop], b.y[q, done:stop])
-                fits = sums + a.after[step][p] * b.after[step][q] >= threshold - SLACK
-                kept.append((p[fits], q[fits], sums[fits]))
-            i, j, part = (np.concatenate([k[c] for k in kept]) if kept else z for c, z in enumerate((i, j, part)))
-        done = stop
+        self.after = {s: np.sqrt(squares[:, s]) for s in STEPS if s < size}
+
+
+def linked(a: Side, b: Side, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) with a cosine of the threshold or more, a few rows of a at a time;
+    in one block each pair once."""
+    rows = max(1, CELLS // len(b.ids))
+    for first in range(0, len(a.ids), rows):
+        i, j = _linked_rows(a, b, threshold, first, min(first + rows, len(a.ids)), same)
+        if len(i):
+            yield i, j
+
+
+def _linked_rows(a: Side, b: Side, threshold: float, first: int, last: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    size, steps = a.x.shape[1], [s for s in STEPS if s < a.x.shape[1]]
+    done = steps[0] if steps else size
+    sums = a.y[first:last, :done] @ b.y[:, :done].T
+    after_a, after_b = (side.after.get(done, np.zeros(len(side.ids))) for side in (a, b))
+    keep = sums + after_a[first:last, None] * after_b >= threshold - SLACK
+    if same:
+        keep = np.triu(keep, first + 1)
+    i, j = np.nonzero(keep)
+    part, i = sums[i, j], i + first
+    for stop in steps[1:]:
+        fits = np.zeros(len(i), bool)
+        for at in _slices(len(i), stop - done):
+            p, q = i[at], j[at]
+            part[at] += np.einsum("ij,ij->i", a.y[p, done:stop], b.y[q, done:stop])
+            fits[at] = part[at] + a.after[stop][p] * b.after[stop][q] >= threshold - SLACK
+        i, j, part, done = i[fits], j[fits], part[fits], stop
     fits = np.zeros(len(i), bool)
-    for s in range(0, len(i), 1 << 18):
-        p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-        fits[s : s + (1 << 18)] = np.einsum("ij,ij->i", a.x[p], b.x[q]) / (a.norms[p] * b.norms[q]) >= threshold
+    for at in _slices(len(i), size):
+        p, q = i[at], j[at]
+        fits[at] = np.einsum("ij,ij->i", a.x[p], b.x[q]) / (a.norms[p] * b.norms[q]) >= threshold
     return i[fits], j[fits]
 
 
+def _slices(pairs: int, width: int) -> Iterator[slice]:
+    """Slices of the pairs whose vectors of that width stay within ``CELLS`` numbers."""
+    most = max(1, CELLS // width)
+    return (slice(s, s + most) for s in range(0, pairs, most))
+
+
+def spanning(forest: Forest, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs that join two trees of the forest. The first of each i and of each j go ahead; most
+    others then lie in one tree and are left out at once."""
+    lead = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+    for pick in (lead, np.setdiff1d(np.arange(len(i)), lead, assume_unique=True)):
+        roots = np.array([forest.root(x) for x in range(len(forest.up))])
+        pick = pick[roots[i[pick]] != roots[j[pick]]]
+        for p, q in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
+            if forest.join(p, q):
+                yield p, q
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -174,6 +201,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     nor do rows without an id (their component is null, kept is true); vectors of different lengths do
     not link. Rows that repeat an id are one vector, the one that is least in order. The threshold is above 0.
     """
+    given = vectors.schema[vector_col].dataType
+    # Single-precision components travel as they came; all sums are in double.
+    number = "f4" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "f8"
     every = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("x"))
     picked = every.where("id IS NOT NULL").groupBy("id").agg(F.min("x").alias("x"))
     rows = staged(_digested(picked), "vectors")
@@ -181,7 +211,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     classes = staged(good.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "classes")
     turned = axes(picked)
     reps = picked.join(classes.select(F.col("rep").alias("id"), "many"), "id")
-    blocks = _blocks(reps, turned, BLOCK)
+    blocks = _blocks(reps, turned, BLOCK, number)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     boxes = blocks.select("block", "size", "low", "high")
     slab = lambda c: F.floor(c / reach).cast("long") if reach else F.lit(0)
@@ -219,23 +249,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         for batch in batches:
             for r in range(batch.num_rows):
                 block, strip_, kind, other, size, ids, many, data_ = (batch.column(c)[r].as_py() for c in range(8))
-                side = Side(size, ids, many, data_, turned[size])
+                side = Side(size, ids, many, data_, turned[size], number)
                 if kind == 0:
                     if counts:
                         yield flush()
                     a, key, counts, edges = side, (block, strip_), {}, []
                     continue
                 assert key == (block, strip_)
-                i, j = linked(a, side, threshold, other == block)
-                for own_, rows_, gained in ((a, i, side.many[j]), (side, j, a.many[i])):
-                    sums = np.bincount(rows_, weights=gained, minlength=len(own_.ids))
-                    for p in np.flatnonzero(sums):
-                        counts[int(own_.ids[p])] = counts.get(int(own_.ids[p]), 0) + int(sums[p])
                 # A spanning forest of the tile's links.
                 forest, shift = Forest(len(a.ids) + len(side.ids)), 0 if other == block else len(a.ids)
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if forest.join(p, q + shift):
-                        edges.append((int(a.ids[p]), int(side.ids[q])))
+                both = np.concatenate([a.ids, side.ids])
+                gained = np.zeros(len(both), np.int64)
+                for i, j in linked(a, side, threshold, other == block):
+                    gained += np.bincount(i, weights=side.many[j], minlength=len(both)).astype(np.int64)
+                    gained += np.bincount(j + len(a.ids), weights=a.many[i], minlength=len(both)).astype(np.int64)
+                    for p, q in spanning(forest, i, j + shift):
+                        edges.append((int(both[p]), int(both[q])))
+                for p in np.flatnonzero(gained).tolist():
+                    counts[int(both[p])] = counts.get(int(both[p]), 0) + int(gained[p])
         if counts:
             yield flush()
 
