@@ -316,7 +316,7 @@ def similar_of_most_rated(spark: SparkSession, sf: str) -> DataFrame:
     most = counts.orderBy(F.desc("count"), "source_book_id").limit(1)
     items = _items(spark, sf)
     source = items.join(most.select(F.col("source_book_id").alias("id")), "id", "left_semi")
-    return exact_top_k(source, items, K)
+    return exact_top_k(source, items, K, few=True)
 
 
 def cached_or_compute(spark: SparkSession, sf: str) -> DataFrame:

@@ -79,9 +79,10 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     n = len(column)
     if n == 0:
         return np.zeros((0, 0)), np.zeros(0, dtype=bool)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if flat.size % n:
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if column.null_count or sizes["min"] != sizes["max"]:
         raise ValueError("vectors of one table must share one dimension")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     vecs = flat.reshape(n, -1).astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", vecs, vecs))
     valid = norms >= MIN_NORM

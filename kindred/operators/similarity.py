@@ -27,7 +27,7 @@ from kindred.session import parallelism, union
 BLOCK_ROWS = 20_000
 # Below this a tile is not worth its task.
 MIN_BLOCK_ROWS = 256
-# So many sources may travel to every task instead of being shuffled.
+# At most so many sources may travel to every task, where the caller asks for it.
 FEW_SOURCES = 1_000
 
 # Beyond so many tiles a task takes several, one after the other.
@@ -66,11 +66,14 @@ def exact_top_k(
     n_sources: int | None = None,
     n_candidates: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    few: bool = False,
 ) -> DataFrame:
     """Best ``limit`` candidates of every source: ``book_id, similar_book_id, score, rank``.
 
     Both inputs are ``library_items``. Row counts may be given when they are known;
-    otherwise they are counted, since they decide the tiling.
+    otherwise they are counted, since they decide the tiling. ``few`` is for a query about some
+    books: the sources, at most ``FEW_SOURCES`` of them, go to the candidates, of which then
+    none is shuffled.
     """
     check_limit(limit)
     spark = candidates.sparkSession
@@ -79,11 +82,11 @@ def exact_top_k(
         candidates = first_per_title(candidates)
     src, cand = tile_rows(sources, rules, True), tile_rows(candidates, rules, False)
 
-    if rules.dedup != "first":
-        few = few_rows(src, n_sources)
-        if few is not None:
-            lists = cand.mapInArrow(against(few, limit, rules), kernel.RESULT_DDL)
-            return merge_lists(lists, limit, rules)
+    if few:
+        if rules.dedup == "first":
+            raise ValueError('the "first" rule needs all titles of a block together')
+        lists = cand.mapInArrow(against(few_rows(src), limit, rules), kernel.RESULT_DDL)
+        return merge_lists(lists, limit, rules)
 
     n_cand = candidates.count() if n_candidates is None else n_candidates
     n_src = (n_cand if same else sources.count()) if n_sources is None else n_sources
@@ -101,9 +104,8 @@ def exact_top_k(
     tiles = tiles.withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int")).drop(
         "row", "col"
     )
-    if rows * cols <= MAX_TASKS:
-        # One task per tile: the tile number is the partition number.
-        tiles = tiles.repartitionById(rows * cols, "tile")
+    # The tile number is the partition number, or its remainder: a tile never spreads over tasks.
+    tiles = tiles.repartitionById(min(rows * cols, MAX_TASKS), "tile")
     return merge_lists(score_tiles(tiles, ["tile"], limit, rules), limit, rules)
 
 
@@ -186,12 +188,12 @@ def tile_rows(items: DataFrame, rules: Rules, is_source: bool, *keep: str) -> Da
     return items.select(*columns, key.alias("key"), *keep)
 
 
-def few_rows(src: DataFrame, known: int | None) -> pa.Table | None:
-    """The sources themselves when there are at most ``FEW_SOURCES``, else None."""
-    if known is not None and known > FEW_SOURCES:
-        return None
+def few_rows(src: DataFrame) -> pa.Table:
+    """The sources themselves; more than ``FEW_SOURCES`` are refused."""
     head = src.limit(FEW_SOURCES + 1).toArrow()
-    return head if head.num_rows <= FEW_SOURCES else None
+    if head.num_rows > FEW_SOURCES:
+        raise ValueError(f"more than {FEW_SOURCES} sources: search without few")
+    return head
 
 
 def block_counts(n_src: int, n_cand: int, block_rows: int, wanted_tiles: int) -> tuple[int, int]:

@@ -73,10 +73,12 @@ RULES = [
 @pytest.mark.parametrize("rules", RULES, ids=str)
 @pytest.mark.parametrize("path", ["few", "tiles"])
 def test_exact_equals_brute_force(items, df, rules, path, monkeypatch):
-    if path == "tiles":
-        monkeypatch.setattr("kindred.operators.similarity.FEW_SOURCES", 0)
+    few = path == "few"
+    if few and rules.get("dedup") == "first":
+        pytest.skip("this rule has the tiles only")
+    if not few:
         monkeypatch.setattr("kindred.operators.similarity.MIN_BLOCK_ROWS", 20)
-    found = exact_top_k(df, df, 7, Rules(**rules), block_rows=50)
+    found = exact_top_k(df, df, 7, Rules(**rules), block_rows=50, few=few)
     assert as_dict(found) == top_k(items, 7, **rules)
 
 
@@ -89,7 +91,6 @@ def test_first_keeps_all_sources_apart(items, df):
 
 
 def test_more_tiles_than_tasks(items, df, monkeypatch):
-    monkeypatch.setattr("kindred.operators.similarity.FEW_SOURCES", 0)
     monkeypatch.setattr("kindred.operators.similarity.MAX_TASKS", 3)
     assert as_dict(exact_top_k(df, df, 5, block_rows=40)) == top_k(items, 5)
 
@@ -157,13 +158,18 @@ def index(df, tmp_path_factory):
 
 
 @pytest.mark.parametrize("few", [True, False])
-def test_all_cells_is_exact(items, df, index, few, monkeypatch):
-    if not few:
-        monkeypatch.setattr("kindred.operators.similarity.FEW_SOURCES", 0)
-    found = cell_top_k(df, index, 7, nprobe=5, block_rows=15)
+def test_all_cells_is_exact(items, df, index, few):
+    found = cell_top_k(df, index, 7, nprobe=5, block_rows=15, few=few)
     assert as_dict(found) == top_k(items, 7)
 
 
+def test_too_many_sources_to_travel(df, index, monkeypatch):
+    monkeypatch.setattr("kindred.operators.similarity.FEW_SOURCES", 3)
+    for search in (lambda: exact_top_k(df, df, 2, few=True), lambda: cell_top_k(df, index, 2, few=True)):
+        with pytest.raises(ValueError):
+            search()
+
+
 def test_probing_fewer_cells_finds_most(items, df, index):
     exact = top_k(items, 5)
     near = as_dict(cell_top_k(df, index, 5, nprobe=3))
@@ -212,8 +218,7 @@ def by_steps(steps):
 
 @pytest.mark.parametrize("steps", [STEP, MIXED], ids=["positive", "mixed"])
 @pytest.mark.parametrize("dedup", ["none", "best", "first"])
-def test_exact_reranks_all_candidates(items, df, steps, dedup, monkeypatch):
-    monkeypatch.setattr("kindred.operators.similarity.FEW_SOURCES", 0)
+def test_exact_reranks_all_candidates(items, df, steps, dedup):
     found = exact_top_k_rescored(df, df, 7, steps, Rules(dedup=dedup), block_rows=60)
     assert as_dict(found) == top_k(items, 7, dedup=dedup, predict=by_steps(steps))
 
