@@ -15,8 +15,10 @@ FEEDBACK_PAIR = ["source_book_id", "candidate_book_id"]
 def resolve(commands: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File names of commands -> book ids: (resolved, commands that name an unknown book).
 
-    A file name that several books carry means the lowest id.
+    A file name that several books carry means the lowest id. A command without a time has the
+    time of its arrival.
     """
+    arrived = F.coalesce("created_at", F.current_timestamp()).alias("created_at")
     # Only books that are named are grouped, so a small batch does not shuffle the table.
     names = commands.select(
         F.explode(F.array("source_file_name", "candidate_file_name")).alias("book")
@@ -33,7 +35,7 @@ def resolve(commands: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
     )
     known = F.col("source_book_id").isNotNull() & F.col("candidate_book_id").isNotNull()
     return (
-        both.where(known).select(*FEEDBACK_PAIR, "label", "created_at", "command_id"),
+        both.where(known).select(*FEEDBACK_PAIR, "label", arrived, "command_id"),
         both.where(~known).select(commands.columns),
     )
 
@@ -64,12 +66,18 @@ def apply_to_feedback(feedback: DataFrame, commands: DataFrame) -> DataFrame:
     """Feedback after resolved commands: a rating replaces, 0 resets.
 
     A reset stays as a row with label 0 (``stored`` hides it) and an older command never
-    beats a newer row, so commands may be delivered twice or late.
+    beats a newer row, so commands may be delivered twice or late. Of the same time, the command
+    that comes later counts; one without a time is newer than any.
     """
-    new = newest(commands)
-    seen = feedback.select(*FEEDBACK_PAIR, F.col("created_at").alias("_seen"))
+    new = newest(commands.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())))
+    seen = feedback.select(
+        *FEEDBACK_PAIR, F.col("created_at").alias("_seen"), F.col("label").alias("_label")
+    )
+    changed = ~F.col("label").eqNullSafe(F.col("_label"))
     fresh = new.join(seen, FEEDBACK_PAIR, "left").where(
-        F.col("_seen").isNull() | (F.col("created_at") > F.col("_seen"))
+        F.col("_seen").isNull()
+        | (F.col("created_at") > F.col("_seen"))
+        | ((F.col("created_at") == F.col("_seen")) & changed)
     )
     rows = number(
         fresh.select(*FEEDBACK_PAIR, "label", "created_at"), FEEDBACK_PAIR, highest(feedback)

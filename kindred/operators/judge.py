@@ -32,22 +32,24 @@ def prompts(edges: DataFrame, books: DataFrame, limit: int = JUDGED_EDGES) -> Da
 
 
 def ask(asked: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """Add ``answer``. A batch the judge fails on is asked one by one; failures stay null."""
+    """Add ``answer`` and ``error``. A batch the judge fails on is asked one by one; a prompt it
+    fails on alone has the failure as its ``error``."""
 
-    def answers(batch: list[str]) -> list[str | None]:
+    def answers(batch: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            return list(judge(batch))
-        except Exception:
+            return [(answer, None) for answer in judge(batch)]
+        except Exception as failure:
             if len(batch) == 1:
-                return [None]
+                return [(None, repr(failure))]
             return [answer for prompt in batch for answer in answers([prompt])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(answer=answers(batch["prompt"].tolist()))
+            got = answers(batch["prompt"].tolist())
+            yield batch.assign(answer=[g[0] for g in got], error=[g[1] for g in got])
 
     names = ["source_book_id", "candidate_book_id", "prompt"]
-    schema = "source_book_id long, candidate_book_id long, prompt string, answer string"
+    schema = "source_book_id long, candidate_book_id long, prompt string, answer string, error string"
     return asked.select(*names).mapInPandas(run, schema)
 
 
@@ -65,6 +67,13 @@ def labels(answered: DataFrame) -> DataFrame:
     )
 
 
+def rejected(answered: DataFrame) -> DataFrame:
+    """What gave no label: prompts the judge failed on, and answers that are no number."""
+    unusable = F.col("error").isNotNull() | judge_label(F.col("answer")).isNull()
+    reason = F.coalesce("error", F.lit("no whole number"))
+    return answered.where(unusable).withColumn("error", reason)
+
+
 def label_edges(
     edges: DataFrame,
     books: DataFrame,

@@ -166,8 +166,11 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raise OSError(error)
             with archive.open(row.member) as text:
                 for piece in text:  # up to the next \n; splitlines knows the other line ends
-                    for line in piece.decode("utf-8").splitlines():
-                        rows.append((row.archive, row.member, line, None))
+                    try:
+                        for line in piece.decode("utf-8").splitlines():
+                            rows.append((row.archive, row.member, line, None))
+                    except UnicodeDecodeError as failure:  # the line is rejected, the rest is read
+                        rows.append((row.archive, row.member, None, repr(failure)))
                     if len(rows) >= LINE_BATCH:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []

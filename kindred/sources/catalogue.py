@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.text import catalogue_authors, strip
-from kindred.sources.archives import list_members, read_lines
+from kindred.sources.archives import list_members, read_lines, split_errors
+from kindred.session import stage, union
 
 # The catalogue line format.
 FIELD_SEPARATOR = "\x04"
@@ -36,8 +37,13 @@ BOOK_COLUMNS = ["archive", "book", "title", "author", "authors"]
 
 
 def inpx_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every member of one catalogue archive: ``archive, member, line, error``."""
-    return read_lines(list_members(spark, path, glob=None).where("error IS NULL"))
+    """Lines of every member of one catalogue archive: ``archive, member, line, error``.
+
+    An archive, member or line that cannot be read is a row with an ``error``.
+    """
+    good, broken = split_errors(list_members(spark, path, glob=None))
+    columns = ["archive", "member", F.lit(None).cast("string").alias("line"), "error"]
+    return union(read_lines(good), broken.select(columns))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -93,13 +99,15 @@ def scan_catalogue(
     location: str,
     books: DataFrame,
     language: str = LANGUAGE,
-) -> DataFrame:
-    """New books of a library, from its catalogue (``inpix``) or its archives (``zip``)."""
+) -> tuple[DataFrame, DataFrame]:
+    """New books of a library, from its catalogue (``inpix``) or its archives (``zip``), and
+    what could not be read: ``archive, member, error``."""
     if kind == INPX:
-        lines = inpx_lines(spark, location).where("error IS NULL")
-        found = catalogue_books(eligible(parse_lines(lines), language))
+        lines = stage(inpx_lines(spark, location), "catalogue")
+        found = catalogue_books(eligible(parse_lines(lines.where("error IS NULL")), language))
     elif kind == ZIP:
-        found = listed_books(list_members(spark, location))
+        lines = stage(list_members(spark, location), "listing")
+        found = listed_books(lines)
     else:
         raise ValueError(f"unknown catalogue kind: {kind}")
-    return unseen(found, books)
+    return unseen(found, books), lines.where("error IS NOT NULL").select("archive", "member", "error")

@@ -197,5 +197,7 @@ class VersionedTable:
         try:
             marks = self.spark.read.schema(self.MARKS).json(f"{self.path}/marks")
             return sorted(marks.collect(), key=lambda m: m.version)
-        except AnalysisException:
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
             return []

@@ -122,7 +122,8 @@ def empty_library(spark):
 
 def test_ingestion_from_the_catalogue(spark, library):
     start = empty_library(spark)
-    found = scan_catalogue(spark, "inpix", str(library.parent / "lib.inpx"), start.books)
+    found, rejected = scan_catalogue(spark, "inpix", str(library.parent / "lib.inpx"), start.books)
+    assert rejected.count() == 0
     # The catalogue says one.zip; the second book has no document.
     rows = read_books(with_ids(found, start.books), str(library)).cache()
     assert {(r.book, r.error is None) for r in rows.collect()} == {("1.fb2", False), ("9.fb2", False)}
@@ -130,7 +131,7 @@ def test_ingestion_from_the_catalogue(spark, library):
 
 def test_ingestion_from_archives(spark, library):
     start = empty_library(spark)
-    found = scan_catalogue(spark, "zip", str(library), start.books)
+    found, _ = scan_catalogue(spark, "zip", str(library), start.books)
     read = read_books(with_ids(found, start.books), str(library)).cache()
     assert read.where("error IS NOT NULL").count() == 0
     done = add_books(start, read.drop("error"), lambda t: encode_by_words(t, dimensions=32))
@@ -142,7 +143,7 @@ def test_ingestion_from_archives(spark, library):
     assert {r.name for r in done.authors.collect()} == {"F M L", "A Z"}
     assert done.book_authors.count() == 2
     # Nothing is new the second time; a repeated add keeps every id.
-    assert scan_catalogue(spark, "zip", str(library), done.books).count() == 0
+    assert scan_catalogue(spark, "zip", str(library), done.books)[0].count() == 0
     again = add_books(done, read.drop("error"), lambda t: encode_by_words(t, dimensions=32))
     assert {(r.id, r.book) for r in again.books.collect()} == {(r.id, r.book) for r in books.values()}
     assert again.authors.count() == 2 and again.book_authors.count() == 2
@@ -211,3 +212,15 @@ def test_catalogue_lines_as_a_stream(spark, library, tmp_path):
     ).awaitTermination()
     row = store.books.read().first()
     assert (row.book, row.archive, row.title, row.author, row.uid) == ("3.fb2", "two.zip", "Known", "X Y", "id-1")
+
+
+def test_what_a_catalogue_loses_is_told(spark, tmp_path):
+    line = "\x04".join(["A,B,:", "", "T", "", "", "7", "1", "7", "0", "fb2", "", "ru", "", ""])
+    with zipfile.ZipFile(tmp_path / "lib.inpx", "w") as out:
+        out.writestr("one.inp", line.encode() + b"\r\n\xff\xfe broken\r\n" + line.replace("\x047\x04", "\x048\x04", 1).encode())
+    (tmp_path / "broken.inpx").write_bytes(b"no archive")
+    found, rejected = scan_catalogue(spark, "inpix", str(tmp_path / "lib.inpx"), empty_library(spark).books)
+    assert {r.book for r in found.collect()} == {"7.fb2", "8.fb2"}
+    assert [(r.member, "UnicodeDecodeError" in r.error) for r in rejected.collect()] == [("one.inp", True)]
+    found, rejected = scan_catalogue(spark, "inpix", str(tmp_path / "broken.inpx"), empty_library(spark).books)
+    assert found.count() == 0 and [r.archive for r in rejected.collect()] == ["broken.inpx"]

@@ -241,6 +241,21 @@ def test_judge(spark, books):
 
     got = judge.label_edges(edges.coalesce(1), books, answers)
     assert ratings_of(got) == {(1, 2): 0.85}
+    asked = judge.ask(judge.prompts(edges.coalesce(1), books), answers)
+    assert ["busy" in r.error for r in judge.rejected(asked).collect()] == [True]
+    asked = judge.ask(judge.prompts(edges, books), lambda prompts: ["many"] * len(prompts))
+    assert {r.error for r in judge.rejected(asked).collect()} == {"no whole number"}
+
+
+def test_commands_of_the_same_time_or_without_one(spark):
+    old = spark.createDataFrame([(1, 1, 2, 0.2, at(5)), (2, 1, 3, 0.2, at(5)), (3, 1, 4, 0.2, at(5))], FEEDBACK)
+    new = spark.createDataFrame(
+        [(1, 2, 0.4, at(5), 1), (1, 3, 0.6, None, 2), (1, 4, 0.8, at(4), 3), (1, 5, 1.0, None, 4)],
+        "source_book_id long, candidate_book_id long, label double, created_at timestamp, command_id long",
+    )
+    got = fb.apply_to_feedback(old, new)
+    assert ratings_of(got) == {(1, 2): 0.4, (1, 3): 0.6, (1, 4): 0.2, (1, 5): 1.0}
+    assert got.where("created_at IS NULL").count() == 0
 
 
 def test_text_pairs(spark):
