@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import mix, pieces, spans_of_text
+from kindred.llm.common import lean, mix, pieces, spans_of_text
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Bytes of the texts that are scanned at once, and entries of a worker's cache of pieces.
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             )
 
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "id long, ids array<int>, starts array<long>")
+    return picked.mapInArrow(lean(run), "id long, ids array<int>, starts array<long>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             found = [made.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "data"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, data binary")
+    return encoded.select("id", "ids").mapInArrow(lean(run), "id long, data binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,4 +320,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             )
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long")
+    return picked.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long")

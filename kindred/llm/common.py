@@ -7,8 +7,10 @@ named by ``spark.checkpoint.dir`` and read again, so a lost executor costs only
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kindred.session import shared_dir, ship, stage
 
-__all__ = ["table", "staged", "spans_of_text", "pieces", "mix", "components", "shared_dir", "fold", "release"]
+__all__ = ["table", "staged", "lean", "spans_of_text", "pieces", "mix", "components", "shared_dir", "fold", "release"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,40 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@cache
+def _trim() -> Callable:
+    """What makes the C library return free memory; nothing where it has no such call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: None
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but no object uses to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(run: Callable) -> Callable:
+    """The function of a `mapInArrow`, giving memory back after each batch and at its end. Python workers
+    serve task after task, and their allocators would else keep the most that any task needed."""
+
+    def tidy(batches):
+        def fed():
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        try:
+            yield from run(fed())
+        finally:
+            give_back()
+
+    return tidy
+
+
 def fold(doc_id: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo ``parts``; the fold of a null id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts

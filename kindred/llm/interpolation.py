@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, mix, release, spans_of_text, staged
+from kindred.llm.common import fold, lean, mix, release, spans_of_text, staged
 from kindred.llm.shingles import STEP, words
 from kindred.session import parallelism
 
@@ -108,7 +108,7 @@ def _blocks(docs: DataFrame, most: int) -> DataFrame:
             yield flush()
 
     schema = "block long, ids array<long>, held array<boolean>, ends array<long>, tokens binary, words binary"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 class Block:
@@ -160,7 +160,7 @@ def _asked(blocks: DataFrame, bits: int) -> DataFrame:
                     ["part", "block", "keys", "own"],
                 )
 
-    return blocks.mapInArrow(run, "part long, block long, keys binary, own binary")
+    return blocks.mapInArrow(lean(run), "part long, block long, keys binary, own binary")
 
 
 def _totals(asked: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _totals(asked: DataFrame) -> DataFrame:
 
     n = parallelism(asked.sparkSession)
     ordered = asked.repartition(n, "part").sortWithinPartitions("part", "block")
-    return ordered.mapInArrow(run, "block long, part long, totals binary, kinds long, tokens long")
+    return ordered.mapInArrow(lean(run), "block long, part long, totals binary, kinds long, tokens long")
 
 
 def _joined(blocks: DataFrame, totals: DataFrame, with_block, schema: str) -> DataFrame:
@@ -228,7 +228,7 @@ def _joined(blocks: DataFrame, totals: DataFrame, with_block, schema: str) -> Da
             yield with_block(Block(*head), np.concatenate(parts))
 
     n = parallelism(blocks.sparkSession)
-    return a.unionAll(b).repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+    return a.unionAll(b).repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(lean(run), schema)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:

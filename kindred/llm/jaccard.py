@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, mix, staged
+from kindred.llm.common import components, lean, mix, staged
 from kindred.llm.shingles import shingles
 from kindred.session import parallelism
 
@@ -110,7 +110,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     ["id", "n", "one", "two", "own", "own_need", "lower", "lower_need"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, one long, two long, own array<long>, own_need long, lower array<long>, lower_need long")
+    return docs.mapInArrow(lean(run), "id long, n long, one long, two long, own array<long>, own_need long, lower array<long>, lower_need long")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def searched(rows: DataFrame, width: int, percent: int) -> DataFrame:
             yield flush()
 
     tiled = rows.repartition(parallelism(rows.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return tiled.select("grp", "i", "j", "part", "id", "text").mapInArrow(run, "a long, b long")
+    return tiled.select("grp", "i", "j", "part", "id", "text").mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from kindred.llm.common import components, staged
+from kindred.llm.common import components, lean, staged
 from kindred.llm.jaccard import Forest
 from kindred.llm.vectors import usable
 from kindred.session import parallelism
@@ -49,7 +49,7 @@ def _moments(vectors: DataFrame) -> DataFrame:
             n = size * size
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size)), pa.array(np.arange(n)), pa.array(m.ravel())], ["size", "cell", "total"])
 
-    return vectors.select("x").mapInArrow(run, "size long, cell long, total double").groupBy("size", "cell").agg(F.sum("total").alias("total"))
+    return vectors.select("x").mapInArrow(lean(run), "size long, cell long, total double").groupBy("size", "cell").agg(F.sum("total").alias("total"))
 
 
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -79,7 +79,7 @@ def _digested(vectors: DataFrame) -> DataFrame:
             ok &= np.asarray(batch.column(0).is_valid())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ok)], ["id", "one", "two", "ok"])
 
-    return vectors.select("id", "x").mapInArrow(run, "id long, one long, two long, ok boolean")
+    return vectors.select("id", "x").mapInArrow(lean(run), "id long, one long, two long, ok boolean")
 
 
 def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int, kind: str) -> DataFrame:
@@ -122,12 +122,12 @@ def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int, kind: str
         for size, parts in held.items():
             yield made(size, parts)
 
-    placed = rows.select("id", "many", "x").mapInArrow(first_axis, "id long, many long, x array<double>, size long, at double")
+    placed = rows.select("id", "many", "x").mapInArrow(lean(first_axis), "id long, many long, x array<double>, size long, at double")
     placed = staged(placed, "placed")
     n = parallelism(rows.sparkSession)
     ordered = placed.repartitionByRange(n, "size", "at", "id").sortWithinPartitions("size", "at", "id")
     schema = "block long, size long, ids array<long>, many array<long>, data binary, low array<double>, high array<double>"
-    return staged(ordered.select("id", "many", "x").mapInArrow(cut, schema), "blocks")
+    return staged(ordered.select("id", "many", "x").mapInArrow(lean(cut), schema), "blocks")
 
 
 class Side:
@@ -271,7 +271,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
             yield flush()
 
     ordered = tiles.repartition(parallelism(vectors.sparkSession), "block", "strip").sortWithinPartitions("block", "strip", "kind", "other")
-    found = staged(ordered.select(columns).mapInArrow(run, "id long, links long, other long"), "links")
+    found = staged(ordered.select(columns).mapInArrow(lean(run), "id long, links long, other long"), "links")
     links = found.where("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     linked_ = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = classes.join(links, "rep", "left").join(linked_.withColumnRenamed("node", "rep"), "rep", "left")

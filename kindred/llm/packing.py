@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import Pieces, chunks
-from kindred.llm.common import staged
+from kindred.llm.common import lean, staged
 from kindred.session import parallelism
 
 #: Id after the last token of a document.
@@ -81,7 +81,7 @@ def tokenised(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)
 
 
 def patterns(have: np.ndarray, limit: int) -> np.ndarray:
@@ -235,4 +235,4 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return numbered(rows).mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(lean(run), schema)

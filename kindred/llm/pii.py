@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import give_back, lean
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 DIGITS = frozenset("0123456789")
@@ -204,12 +206,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             found = [
                 [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in find(text)] if text else []
-                for text in batch.column(1).to_pylist()
+                for text in (one.as_py() for one in batch.column(1))
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], ["id", "text", "spans"])
 
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "id long, text string, spans array<struct<kind:string,start:long,end:long>>")
+    return picked.mapInArrow(lean(run), "id long, text string, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +221,7 @@ def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches):
         for batch in batches:
             counts, digests, joined = [[] for _ in KINDS], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (one.as_py() for one in batch.column(1)):
                 spans = find(text) if text else []
                 for k, column in enumerate(counts):
                     column.append(sum(s[0] == k for s in spans))
@@ -233,7 +235,7 @@ def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return picked.mapInArrow(
-        run,
+        lean(run),
         "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long",
     )
 
@@ -256,9 +258,8 @@ def mask(text: str) -> str:
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, personal data in the text replaced; null text stays null."""
 
-    def run(column):
-        import pandas as pd
-
-        return pd.Series([mask(t) if t else t for t in column], dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        give_back()
+        return pa.array((mask(t) if t else t for t in (one.as_py() for one in texts)), pa.string())
 
-    return docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
+    return docs.withColumn(text_col, F.arrow_udf(run, "string")(F.col(text_col)))

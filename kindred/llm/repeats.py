@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import powers
-from kindred.llm.common import mix, pieces, spans_of_text, staged
+from kindred.llm.common import give_back, lean, mix, pieces, spans_of_text, staged
 from kindred.session import parallelism
 
 #: Bytes of the rolling hash, of texts parsed at once, and of phrases whose suffixes are sorted at once.
 GRAM, CHUNK_BYTES, SORT_BYTES = 24, 1 << 20, 1 << 20
+#: Neighbours of a suffix array that are compared at once.
+STEP = 1 << 16
 
 
 def parsed(held: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -190,8 +192,9 @@ def _sort(length: int) -> Callable:
         suffixes = np.ascontiguousarray(view[at]).view(f"V{length}").ravel()
         array = np.argsort(suffixes, kind="stable")  # equal ones in the order of the corpus
         again = np.zeros(len(at), bool)
-        ordered = suffixes[array]
-        again[array[1:]] = ordered[1:] == ordered[:-1]
+        for lo in range(1, len(array), STEP):
+            hi = lo + STEP
+            again[array[lo:hi]] = suffixes[array[lo:hi]] == suffixes[array[lo - 1 : hi - 1][: len(array[lo:hi])]]
         return phrase, string, again
 
     def run(batches):
@@ -261,14 +264,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     n = parallelism(docs.sparkSession)
-    phrases = picked.mapInArrow(_parse(length), PHRASES)
+    phrases = picked.mapInArrow(lean(_parse(length)), PHRASES)
     dealt = phrases.repartition(n, "key").sortWithinPartitions("key", "name", "doc", "start")
-    parse = staged(dealt.mapInArrow(_compare, PHRASES), "parse")
+    parse = staged(dealt.mapInArrow(lean(_compare), PHRASES), "parse")
     mixed = parse.where(F.col("offset") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("key", "start", "strings", "offset")).alias("phrases"))
     texts = picked.join(mixed, "doc").select("doc", "text", "phrases")
-    texts = texts.mapInArrow(_texts(length), "key long, doc long, start long, offset long, text binary")
+    texts = texts.mapInArrow(lean(_texts(length)), "key long, doc long, start long, offset long, text binary")
     dictionary = texts.repartition(n, "key").sortWithinPartitions("key", "doc", "start")
-    parts = staged(dictionary.mapInArrow(_sort(length), "doc long, first long, last long"), "spans")
+    parts = staged(dictionary.mapInArrow(lean(_sort(length)), "doc long, first long, last long"), "spans")
     whole = parse.where(F.col("offset") == REPEAT)
     whole = whole.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("strings") - 1 + length).alias("last"))
     return parts.unionAll(whole).withColumnRenamed("doc", "id")
@@ -318,7 +321,7 @@ def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     picked = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     found = _with_spans(picked, length, "doc", "text", "spans").select("doc", "text", "spans")
     return found.mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
     )
 
 
@@ -326,11 +329,10 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     """All rows and columns, the repeats cut from the text; a character goes only with all its bytes.
     Null text stays null."""
 
-    def cut(texts, spans):
-        import pandas as pd
-
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        give_back()
         out = []
-        for text, own in zip(texts, spans, strict=True):
+        for text, own in zip((t.as_py() for t in texts), (s.as_py() for s in spans), strict=True):
             if text and own is not None and len(own):
                 raw, kept, at = text.encode(), [], 0
                 for a, b in merged(own):
@@ -342,11 +344,11 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                     at = max(at, b)
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     name = "spans"
     while name in docs.columns:
         name = "_" + name
     rows = _with_spans(docs, length, id_col, text_col, name)
-    fixed = F.pandas_udf(cut, "string")(F.col(text_col), F.col(name))
+    fixed = F.arrow_udf(cut, "string")(F.col(text_col), F.col(name))
     return rows.withColumn(text_col, fixed).select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import staged
+from kindred.llm.common import lean, staged
 from kindred.llm.vectors import usable
 from kindred.session import parallelism
 
@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0,
             yield flush()
 
     ordered = rows.sortWithinPartitions("block", "lane", "kind").select("block", "lane", "kind", "id", "x")
-    found = ordered.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = ordered.mapInArrow(lean(run), "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

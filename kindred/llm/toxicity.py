@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, staged
+from kindred.llm.common import fold, give_back, lean, staged
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "I", "H", "T", "N", "R", "o"
 #: Words of the classes in English, German, French and Spanish.
@@ -232,7 +232,7 @@ def _stems(labelled: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1:
         return (), tuple(INSULTS)
-    totals = texts.mapInArrow(count, "stem string, one long, zero long").groupBy("stem").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    totals = texts.mapInArrow(lean(count), "stem string, one long, zero long").groupBy("stem").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
     odds = F.log((F.col("one") + 0.5) / (n1 + 1.0)) - F.log((F.col("zero") + 0.5) / (n0 + 1.0))
     sure = totals.where((F.col("one") >= 3) & (odds > 3) & (F.col("zero") <= 0.05 * F.col("one")))
     best = sure.orderBy(F.desc(F.col("one") - F.col("zero")), F.length("stem"), "stem").limit(CANDIDATES).collect()
@@ -244,7 +244,7 @@ def _stems(labelled: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
             found = [sorted(number[s] for s in _beginnings(t or "") if s in number) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
 
-    rows = texts.where("toxic = 1").select("text").mapInArrow(held, "found array<int>").collect()  # at most LABELLED
+    rows = texts.where("toxic = 1").select("text").mapInArrow(lean(held), "found array<int>").collect()  # at most LABELLED
     left = [set(r["found"]) for r in rows if r["found"]]
     chosen, least = [], max(2, n1 // 200)
     while left:
@@ -294,10 +294,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, parts: int
 
     def count(batches):
         for batch in batches:
-            found = [model.counts(t).tolist() for t in batch.column(0).to_pylist()]
+            found = [model.counts(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["counts", "toxic"])
 
-    rows = sample.mapInArrow(count, "counts array<double>, toxic int").groupBy("counts", "toxic").count().collect()  # at most `bound`
+    rows = sample.mapInArrow(lean(count), "counts array<double>, toxic int").groupBy("counts", "toxic").count().collect()  # at most `bound`
     y = np.array([r["toxic"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         any_ = [0.0] * (2 * len(PATTERNS)) + [3.94]
@@ -314,7 +314,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, parts: int = 4
 
     def run(batches):
         for batch in batches:
-            counts = np.array([model.counts(t) for t in batch.column(2).to_pylist()]).reshape(-1, len(PATTERNS))
+            counts = np.array([model.counts(t.as_py()) for t in batch.column(2)]).reshape(-1, len(PATTERNS))
             score = model.score(counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in counts.T)],
@@ -323,16 +323,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, parts: int = 4
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     texts = texts.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "text")
-    return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, " + ", ".join(f"n_{p} long" for p in PATTERNS))
+    return texts.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, " + ", ".join(f"n_{p} long" for p in PATTERNS))
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score below the threshold."""
 
-    def keep(texts):
-        import pandas as pd
+    def keep(texts: pa.Array) -> pa.Array:
+        counts = np.array([model.counts(t.as_py()) for t in texts]).reshape(-1, len(PATTERNS))
+        give_back()
+        return pa.array(model.score(counts) < threshold)
 
-        counts = np.array([model.counts(t) for t in texts]).reshape(-1, len(PATTERNS))
-        return pd.Series(model.score(counts) < threshold)
-
-    return docs.where(F.pandas_udf(keep, "boolean")(F.col(text_col)))
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col(text_col)))
