@@ -100,24 +100,25 @@ def reported() -> Transducer:
 
 
 def matching() -> Transducer:
-    """Patterns of a clause. State: (a target was seen, an open insult, the last word was an insult)."""
+    """Patterns of a clause. State: (a target was seen, an open insult, an open threat, the last word was an
+    insult). A target closes what is open, so a target may stand before or after its insult or threat."""
 
     def step(state, symbol):
-        target, insult, last = state
+        target, insult, threat, last = state
         if symbol == TARGET:
-            return (True, False, False), ("directed",) if insult else ()
+            return (True, False, False, False), (*(["directed"] if insult else []), *(["threat"] if threat else []))
         if symbol == INSULT:
             out = ("directed" if target else "insult", *(["run"] if last else []))
-            return (target, not target, True), out
+            return (target, not target, threat, True), out
         if symbol == THREAT:
-            return (target, insult, False), ("threat",) if target else ()
+            return (target, insult, not target, False), ("threat",) if target else ()
         if symbol in "ih":
-            return (target, insult, False), ("negated",)
+            return (target, insult, threat, False), ("negated",)
         if symbol == "r":
-            return (target, insult, False), ("reported",)
-        return (target, insult, False), ()
+            return (target, insult, threat, False), ("reported",)
+        return (target, insult, threat, False), ()
 
-    return Transducer((False, False, False), step)
+    return Transducer((False, False, False, False), step)
 
 
 GRAMMAR = negation().compose(reported()).compose(matching())

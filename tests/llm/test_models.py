@@ -23,6 +23,18 @@ def test_grammar():
     assert names("idiotic") == {}
 
 
+def test_threats_in_both_orders():
+    model = toxicity.Model()
+    names = lambda text: {n: int(c) for n, c in zip(toxicity.PATTERNS, model.counts(text), strict=True) if c}
+    for text in ("I will kill you", "we will hurt them", "burn her house", "Ich werde dich töten", "je vais te frapper"):
+        assert names(text) == {"threat": 1}, text
+    assert names("They will kill you and burn it") == {"threat": 2}
+    assert names("I will not kill you") == names("You will never hurt them") == {"negated": 1}
+    assert names("Bob said we must kill you") == names("You said I must kill them") == {"reported": 1}
+    assert names("Kill an hour. You came.") == {}
+    assert names("I will kill you, idiot") == {"threat": 1, "directed": 1}
+
+
 def test_toxicity_is_learnt_in_any_language(docs_of, spark):
     pick = random.Random(8)
     rows, marks = [], []
