@@ -15,6 +15,11 @@ place of phrases with the same trigger gram, and every string is in exactly one
 
 A chunk of texts first finds the repeats among its own phrases, so a passage or copy that a third of
 the texts hold reaches the shuffle once for each chunk.
+
+A line that many texts hold, each with a text of its own after it, gives one trigger gram as many distinct
+phrases. Such grams are counted first, and their phrases are cut into strings of ``length`` bytes, each
+of which has its own hash for a key. So equal strings still meet, and no key holds more phrases
+than a sort does.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from kindred.session import parallelism
 
 #: Bytes of the rolling hash, of texts parsed at once, and of phrases whose suffixes are sorted at once.
 GRAM, CHUNK_BYTES, SORT_BYTES = 24, 1 << 20, 1 << 20
+#: Distinct phrases of a key, about, beyond which it is split by string; they are counted in one of so many phrases.
+SPLIT, SAMPLE = 2048, 16
 #: Neighbours of a suffix array that are compared at once.
 STEP = 1 << 16
 
@@ -83,31 +90,94 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], COLUMNS)
 
 
-def _parse(length: int) -> Callable:
+def _places(key: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, again): rows by (key, name, doc, start), and in that order the first place of each
+    (key, name) and the other places, which are not rows that are there twice."""
+    order = np.lexsort((start, doc, name, key))
+    key, name, doc, start = (c[order] for c in (key, name, doc, start))
+    lead = np.ones(len(key), bool)
+    lead[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    head = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
+    return order, lead, ~lead & ((doc != doc[head]) | (start != start[head]))
+
+
+def _repeats(doc: np.ndarray, start: np.ndarray, strings: np.ndarray) -> pa.RecordBatch:
+    where = mix(doc.astype(np.uint64) + start.astype(np.uint64) * np.uint64(2654435761))
+    return _rows(where, where, doc, start, strings, np.full(len(doc), REPEAT))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes of a chunk of texts, key, name, doc, start, strings, offset, byte of the chunk) of the phrases."""
+    for batch in batches:
+        known = np.asarray(batch.column(0).is_valid())
+        ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
+        data, offsets = spans_of_text(batch.column(1))
+        for first, last in pieces(offsets, CHUNK_BYTES):
+            held, begin = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            found = parsed(held, begin, length)
+            keep = known[first + found[2]]
+            key, name, row, start, strings, offset = (f[keep] for f in found)
+            yield held, key, name, ids[first + row], start, strings, offset, begin[row] + start
+
+
+def _sampled(length: int) -> Callable:
+    """(key, name) of one in ``SAMPLE`` distinct phrases, picked by the hash of the phrase."""
+
     def run(batches):
-        for batch in batches:
-            known = np.asarray(batch.column(0).is_valid())
-            ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
-            data, offsets = spans_of_text(batch.column(1))
-            for first, last in pieces(offsets, CHUNK_BYTES):
-                held = data[offsets[first] : offsets[last]]
-                found = parsed(held, offsets[first : last + 1] - offsets[first], length)
-                keep = known[first + found[2]]
-                key, name, row, start, strings, offset = (f[keep] for f in found)
-                doc = ids[first + row]
-                order = np.lexsort((start, doc, name, key))
-                key, name, doc, start, strings, offset = (c[order] for c in (key, name, doc, start, strings, offset))
-                lead = np.ones(len(key), bool)
-                lead[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-                head = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-                again = ~lead & ((doc != doc[head]) | (start != start[head]))  # not a row that is there twice
-                yield _rows(*(c[lead] for c in (key, name, doc, start, strings, offset)))
-                where = mix(doc[again].astype(np.uint64) + start[again].astype(np.uint64) * np.uint64(2654435761))
-                yield _rows(where, where, doc[again], start[again], strings[again], np.full(int(again.sum()), REPEAT))
+        for _, key, name, *_ in _chunks(batches, length):
+            keep = mix(name) % np.uint64(SAMPLE) == 0
+            pairs = np.unique(np.stack([key[keep], name[keep]], 1).view(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "name"])
+
+    return run
+
+
+def _parse(length: int, large: np.ndarray) -> Callable:
+    """The phrases of texts. A phrase whose key is in ``large`` is cut into its strings, each a phrase under a
+    key of its own, the hash of its bytes."""
+
+    def run(batches):
+        for held, *found in _chunks(batches, length):
+            order, lead, again = _places(*found[:4])
+            key, name, doc, start, strings, offset, at = (c[order] for c in found)
+            yield _repeats(doc[again], start[again], strings[again])
+            cut = lead & np.isin(key, large)
+            whole = lead & ~cut
+            yield _rows(*(c[whole] for c in (key, name, doc, start, strings, offset)))
+            if not cut.any():
+                continue
+            many = strings[cut]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            trigger, doc, start, offset, at = (np.repeat(c[cut], many) for c in (key, doc, start, offset, at))
+            start, offset, at = start + step, offset - step, at + step
+            value, up, down = powers(len(held) + (1 << 18))
+            sums = np.zeros(len(held) + 1, np.uint64)
+            np.cumsum(value[held] * up[: len(held)], out=sums[1:])
+            code = mix((sums[at + length] - sums[at]) * down[at] + mix(offset.astype(np.uint64) + np.uint64(1)))
+            order, lead, again = _places(code, trigger, doc, start)
+            code, trigger, doc, start, offset = (c[order] for c in (code, trigger, doc, start, offset))
+            yield _rows(*(c[lead] for c in (code, trigger, doc, start, np.ones(len(code), np.int64), offset)))
+            # Repeated strings that follow each other are one place.
+            doc, start = doc[again], start[again]
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(doc))[: len(first)] - 1
+            yield _repeats(doc[first], start[first], start[last] - start[first] + 1)
 
     return run
 
 
+def _large(picked: DataFrame, length: int) -> np.ndarray:
+    """Keys with more than about ``SPLIT`` distinct phrases. Which keys near that number are among them does not
+    change what repeats. There is at most one for every ``SPLIT`` or so phrases of the corpus."""
+    found = picked.mapInArrow(lean(_sampled(length)), "key long, name long").distinct().groupBy("key").count()
+    rows = found.where(F.col("count") * SAMPLE > SPLIT).select("key").collect()
+    return np.array(sorted(r["key"] for r in rows), np.int64).view(np.uint64)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of phrases sorted by (key, name, doc, start): the later places of a phrase repeat; the first
     place goes on if its key has another phrase. Holds one row between batches."""
@@ -264,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     n = parallelism(docs.sparkSession)
-    phrases = picked.mapInArrow(lean(_parse(length)), PHRASES)
+    phrases = picked.mapInArrow(lean(_parse(length, _large(picked, length))), PHRASES)
     dealt = phrases.repartition(n, "key").sortWithinPartitions("key", "name", "doc", "start")
     parse = staged(dealt.mapInArrow(lean(_compare), PHRASES), "parse")
     mixed = parse.where(F.col("offset") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("key", "start", "strings", "offset")).alias("phrases"))

@@ -64,3 +64,23 @@ def test_texts_are_cut_at_characters(docs_of):
     assert by_id[1005].text is None and by_id[1007].text == "" and by_id[1009].text == ""
     assert by_id[1001].text == "a" and set(by_id[1011].text) == {"é"}
     assert repeats.removed(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("split", "chunk"), [(0, 1 << 20), (0, 1500), (32, 4000)])
+def test_keys_with_many_phrases_are_split(docs_of, split, chunk, monkeypatch):
+    """A line that most texts begin with: no key keeps a phrase of each of them, and the result is the same."""
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    tables, stage = {}, repeats.staged
+    monkeypatch.setattr(repeats, "staged", lambda rows, name: tables.setdefault(name, stage(rows, name)))
+    pick = random.Random(4)
+    line = "".join(pick.choice("abcdefgh ") for _ in range(150))
+    own = lambda: "".join(pick.choice("ijklmnop") for _ in range(200))
+    rows = [*make_rows(), *((2000 + i, (own() if i % 3 == 0 else "") + line + own()) for i in range(300))]
+    want = brute(rows, 100)
+    for r in repeats.removed(docs_of(rows), 100).collect():
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    mixed = tables["parse"].where(f"offset <> {repeats.REPEAT}").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert (mixed or 0) <= split
