@@ -135,3 +135,17 @@ def test_licences(docs_of):
     assert "Python" not in plan and "Arrow" not in plan
     empty = docs.limit(0)
     assert licences.licensed(empty, licences.train(empty)).count() == 0
+
+
+def test_licences_without_a_cue_and_over_lines(docs_of):
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(12)) + "."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met."
+    texts = {0: "Distributed under CC BY-SA 4.0.", 1: "SPDX: GPL-3.0-only", 2: "Dual MIT/Apache-2.0", 3: "GNU LGPL, version 3", 4: bsd, 5: "Released under the MIT License.\n" + prose() + " free software"}
+    rows = [(i, "\n".join([prose(), texts.get(i, prose()), prose()])) for i in range(150)]
+    docs = docs_of(rows)
+    got = {r.doc_id: r for r in licences.licensed(docs, licences.train(docs)).collect()}
+    assert [got[i].n_licence for i in range(6)] == [1] * 6
+    assert [got[i].families for i in (0, 4, 5)] == ["cc-by-sa", "bsd", "mit"]
+    assert all(got[i].n_licence == 0 for i in range(6, 150))
