@@ -250,6 +250,12 @@ def blob_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("book_id", "n_bytes", F.round(first, 6).alias("first_value"))
 
 
+def blob_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Every component of the vectors after the way to bytes and back."""
+    blobs = stand_ins.vectors(spark, sf).select("book_id", vectors.encode_blob("embedding").alias("blob"))
+    return blobs.select("book_id", F.posexplode(vectors.decode_blob("blob")).alias("place", "value"))
+
+
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of the vectors at both ends of every edge."""
     vecs = stand_ins.vectors(spark, sf)
@@ -332,6 +338,13 @@ def cached_or_compute(spark: SparkSession, sf: str) -> DataFrame:
     return answer.lists
 
 
+def cached_or_compute_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar books for every rated book: all stored edges, else a search."""
+    requests = stand_ins.commands(spark, sf).select(F.col("source_file_name").alias("file_name"))
+    books, vecs, edges = stand_ins.books(spark, sf), stand_ins.vectors(spark, sf), stand_ins.edges(spark, sf)
+    return similar_books(requests, books, vecs, edges, limit=K).lists
+
+
 def bulk_ranked_view(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: edges of all books, shown with titles, authors, links and ratings."""
     books = stand_ins.books(spark, sf)
@@ -547,7 +560,7 @@ def edge_score_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf: str) -> rerank.Steps:
     rows = rerank.training_set(_feedback(spark, sf), stand_ins.vectors(spark, sf))
-    return rerank.train(rows, rounds=20)
+    return rerank.train(rows)
 
 
 def rerank_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -575,9 +588,10 @@ QUERIES = [
     catalogue_parse, incremental_new_books, author_dim, author_bridge, book_upsert,
     books_of_rated, one_book_per_file, books_with_vectors, vector_count,
     paragraph_sample, fb2_extract, page_extract, archive_listing, stream_ingest,
-    vector_norm, blob_round_trip, cosine_pairs,
+    vector_norm, blob_round_trip, blob_components, cosine_pairs,
     topk_exact_raw, topk_dedup, topk_first_title, topk_other_authors, topk_overfetch,
     ann_full_probe, ann_topk, ann_vs_exact, similar_of_most_rated, cached_or_compute,
+    cached_or_compute_all,
     bulk_ranked_view, documents_similar,
     edges_enriched, edge_export, edge_texts, edge_lists, edge_replace, touched_ids,
     edges_after_dislikes, edges_not_disliked, rating_attach, boosted_score,
