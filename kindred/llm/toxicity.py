@@ -177,7 +177,7 @@ class Model:
             if first < done or (first and low[first - 1].isalpha()):
                 continue
             start = done
-            for end in CLAUSE_END.finditer(low, max(done, first - 400), first):
+            for end in CLAUSE_END.finditer(low, done, first):
                 start = end.end()
             start = max(start, 0)
             close = CLAUSE_END.search(low, last + 1)

@@ -35,6 +35,13 @@ def test_threats_in_both_orders():
     assert names("I will kill you, idiot") == {"threat": 1, "directed": 1}
 
 
+def test_long_clauses_begin_where_they_begin():
+    model = toxicity.Model()
+    names = lambda text: {n: int(c) for n, c in zip(toxicity.PATTERNS, model.counts(text), strict=True) if c}
+    assert names("He said so. " + "word " * 100 + "idiot") == {"insult": 1}
+    assert names("You came. " + "word " * 100 + "idiot. Yes. " + "word " * 100 + "scum") == {"insult": 2}
+
+
 def test_toxicity_is_learnt_in_any_language(docs_of, spark):
     pick = random.Random(8)
     rows, marks = [], []
