@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import lean, mix, pieces, spans_of_text
+from kindred.llm.common import lean, mix, pieces, same_slices, slice_codes, spans_of_text
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Bytes of the texts that are scanned at once, and entries of a worker's cache of pieces.
@@ -172,10 +173,12 @@ class Chunk:
 
     ``words`` are the distinct slices as bytes, ``which`` has the number of each slice's word,
     ``at`` the byte where it starts, and row r has the slices from ``rows[r - first]`` to the next.
-    Slices are told apart by a 64-bit hash within a chunk of about a megabyte.
+    Slices are grouped by a 64-bit hash, and each is compared with the slice that stands for its group;
+    should two texts ever share a hash, all slices of the chunk are told apart by their bytes.
+    Every ``special`` string in a text is one slice, and the text on either side is cut apart from it.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, special: tuple[bytes, ...] = ()):
         self.first, self.last = first, last
         held = data[offsets[first] : offsets[last]]
         raw = held.tobytes()
@@ -186,16 +189,37 @@ class Chunk:
             self.rows = np.zeros(last - first + 1, np.int64)
             return
         codes = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
-        found = boundaries(codes, np.unique(begin[:-1][begin[:-1] < len(codes)]))
+        opens = begin[:-1][begin[:-1] < len(codes)]
+        spans = self._special(raw, offsets[first : last + 1] - offsets[first], special)
+        if spans:
+            edges = np.searchsorted(heads, np.array(spans))
+            opens = np.concatenate([opens, edges[edges < len(codes)]])
+        found = boundaries(codes, np.unique(opens))
+        if spans:
+            inside = np.searchsorted(edges[:, 0], found) > np.searchsorted(edges[:, 1], found, side="right")
+            found = found[~inside]
         self.rows = np.searchsorted(found, begin)
         self.at = heads[found]
         ends = np.append(self.at[1:], len(raw))
-        value, up, down = powers(len(raw) + (1 << 18))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(value[held] * up[: len(raw)], out=sums[1:])
-        code = mix((sums[ends] - sums[self.at]) * down[self.at] + (ends - self.at).astype(np.uint64))
-        _, place, self.which = np.unique(code, return_index=True, return_inverse=True)
-        self.words = [raw[a:b] for a, b in zip(self.at[place].tolist(), ends[place].tolist(), strict=True)]
+        _, place, self.which = np.unique(slice_codes(held, self.at, ends), return_index=True, return_inverse=True)
+        sizes = ends - self.at
+        stands = place[self.which]
+        if (sizes == sizes[stands]).all() and same_slices(held, self.at, self.at[stands], sizes).all():
+            self.words = [raw[a:b] for a, b in zip(self.at[place].tolist(), ends[place].tolist(), strict=True)]
+        else:
+            number: dict[bytes, int] = {}
+            every = (raw[a:b] for a, b in zip(self.at.tolist(), ends.tolist(), strict=True))
+            self.which = np.array([number.setdefault(word, len(number)) for word in every], np.int64)
+            self.words = list(number)
+
+    @staticmethod
+    def _special(raw: bytes, begin: np.ndarray, special: tuple[bytes, ...]) -> list[tuple[int, int]]:
+        """Spans of the special strings in the texts that begin at ``begin``, leftmost first."""
+        if not any(word in raw for word in special):
+            return []
+        pattern = re.compile(b"|".join(re.escape(word) for word in sorted(special, key=len, reverse=True)))
+        rows = zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)
+        return [m.span() for a, b in rows for m in pattern.finditer(raw, a, b)]
 
     def ids(self, cache) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and where each slice's begin (one more entry)."""
@@ -209,11 +233,11 @@ class Chunk:
         return flat[place], edges
 
 
-def chunks(texts: pa.Array) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, special: tuple[bytes, ...] = ()) -> Iterator[Chunk]:
     """The pre-tokens of a column of texts, some rows at a time."""
     data, offsets = spans_of_text(texts)
     for first, last in pieces(offsets, CHUNK_BYTES):
-        yield Chunk(data, offsets, first, last)
+        yield Chunk(data, offsets, first, last, special)
 
 
 class Pieces(dict):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kindred.session import shared_dir, ship, stage
 
-__all__ = ["table", "staged", "lean", "spans_of_text", "pieces", "mix", "components", "shared_dir", "fold", "release"]
+__all__ = ["table", "staged", "lean", "spans_of_text", "pieces", "mix", "slice_codes", "same_slices", "components", "shared_dir", "fold", "release"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +114,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Slices beyond so many bytes are hashed and compared one by one.
+LONG = 64
+#: What to keep of eight bytes when only so many belong to the slice.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _eights(held: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on, as one number; zeros follow the end."""
+    padded = np.concatenate([held, np.zeros(8, np.uint8)])
+    return np.ndarray(len(held) + 1, "<u8", padded, strides=(1,))
+
+
+def slice_codes(held: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every slice of the bytes.
+
+    Eight bytes at a time go through a mixing of all bits, so that no two slices are equal because of how
+    their bytes are arranged (as sums of powers of a base are modulo 2^64); those of one size up to eight
+    bytes never are. Long slices are digested one by one.
+    """
+    sizes = ends - starts
+    code = mix(sizes.astype(np.uint64) * STEP + np.uint64(1))
+    eights, live, k = _eights(held), np.flatnonzero((sizes <= LONG) & (sizes > 0)), 0
+    while len(live):
+        left = sizes[live] - k
+        code[live] = mix((code[live] ^ (eights[starts[live] + k] & KEEP[np.minimum(left, 8)])) * STEP)
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        digest = hashlib.blake2b(held[starts[i] : ends[i]].data, digest_size=8).digest()
+        code[i] = int.from_bytes(digest, "little")
+    return code
+
+
+def same_slices(held: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``starts`` and from ``others`` are equal over ``sizes`` bytes."""
+    same = np.ones(len(starts), bool)
+    eights, live, k = _eights(held), np.flatnonzero((sizes <= LONG) & (sizes > 0) & (starts != others)), 0
+    while len(live):
+        left = sizes[live] - k
+        same[live] &= ((eights[starts[live] + k] ^ eights[others[live] + k]) & KEEP[np.minimum(left, 8)]) == 0
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero((sizes > LONG) & (starts != others)).tolist():
+        same[i] = np.array_equal(held[starts[i] : starts[i] + sizes[i]], held[others[i] : others[i] + sizes[i]])
+    return same
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links between ids, as (node, component): the smallest id each node reaches.
 

@@ -39,15 +39,25 @@ def pieces_of(path: str) -> Pieces:
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
-    model = Tokenizer.from_file(path).model
+    model, own = Tokenizer.from_file(path).model, special_of(path)
     spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def ids(piece: bytes) -> tuple[int, ...]:
+        if piece in own:
+            return (own[piece],)
         return tuple(t.id for t in model.tokenize(spell(piece.decode())[0][0]))
 
     return Pieces(ids)
 
 
+@lru_cache(2)
+def special_of(path: str) -> dict[bytes, int]:
+    """The added tokens of a ``tokenizers`` file, which its library finds in a text before anything else."""
+    from tokenizers import Tokenizer
+
+    return {token.content.encode(): number for number, token in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+
+
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than the limit."""
     first = n % limit or limit
@@ -57,15 +67,15 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 def tokenised(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row's text, ended by id 0.
 
-    Null text is empty, one piece of one token. Rows that repeat are documents of their own. Strings
-    of special tokens in a text are ordinary text."""
+    Null text is empty, one piece of one token. Rows that repeat are documents of their own. The string
+    of a special token in a text is that token, as the library has it by default."""
 
     def run(batches):
-        cache = pieces_of(path)
+        cache, special = pieces_of(path), tuple(special_of(path))
         for batch in batches:
             made: list[list] = [[] for _ in range(6)]
             row = 0
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), special):
                 flat, edges = c.ids(cache)
                 flat = flat.astype("<u4")
                 for lo, hi in zip(c.rows[:-1], c.rows[1:], strict=True):

@@ -7,8 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from kindred.llm.bpe import powers
-from kindred.llm.common import mix, pieces, spans_of_text
+from kindred.llm.common import mix, pieces, slice_codes, spans_of_text
 
 CHUNK_BYTES = 1 << 20
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -24,7 +23,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
         held = LOWER[data[offsets[first] : offsets[last]]]
         begin = offsets[first : last + 1] - offsets[first]
         n = len(held)
-        value, up, down = powers(n + (1 << 18))
         inside = ~WHITE[held]
         opens = inside.copy()
         opens[1:] &= WHITE[held[:-1]]
@@ -35,10 +33,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
         closes[:-1] &= WHITE[held[1:]]
         closes[inner - 1] = inside[inner - 1]
         ends = np.flatnonzero(closes) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value[held] * up[:n], out=sums[1:])
-        code = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        yield first, last, code, np.searchsorted(starts, begin)
+        yield first, last, slice_codes(held, starts, ends), np.searchsorted(starts, begin)
 
 
 def shingles(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -15,3 +15,11 @@ def docs_of(spark):
         return spark.createDataFrame(wide, schema).repartition(parts)
 
     return make
+
+
+@pytest.fixture(scope="session")
+def alternating():
+    """Two texts that sums of powers modulo 2^64 cannot tell apart, whatever their odd base: letters by
+    the parity of the set bits of their place, and the same with the letters exchanged."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1 << 10))
+    return word, word.translate(str.maketrans("ab", "ba"))

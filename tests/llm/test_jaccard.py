@@ -79,3 +79,8 @@ def test_one_of_each_group_stays(docs_of):
     want = brute(rows, 5, 80)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _ in rows if d is not None and want[d][1] == d)
     assert jaccard.jaccard_classes(docs.limit(0)).count() == 0
+
+
+def test_words_that_look_alike_to_a_sum_of_powers(docs_of, alternating):
+    docs = docs_of([(1, alternating[0]), (2, alternating[1]), (3, alternating[0])])
+    assert {tuple(r) for r in jaccard.jaccard_classes(docs, 4, 85).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}

@@ -26,12 +26,12 @@ def test_plan_uses_each_piece_once_and_few_sequences():
     assert packing.plan({}, 2048) == []
 
 
-def test_pack(docs_of):
+def test_pack(docs_of, alternating):
     pick = random.Random(4)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     texts = ["".join(pick.choice(["the ", "word ", "é", "x1 ", "\n"]) for _ in range(pick.randint(0, 90))) for _ in range(120)]
-    rows = [*enumerate(texts), (500, None), (501, ""), (3, texts[3]), (502, "long " * 700), (None, "no id"), (503, "<|endoftext|>")]
+    rows = [*enumerate(texts), (500, None), (501, ""), (3, texts[3]), (502, "long " * 700), (None, "no id"), (503, "<|endoftext|>"),
+            (504, "a<|endoftext|>b <|endoftext|> <|endoftext|><|endof"), (505, "text|>"), *((600 + k, t) for k, t in enumerate(alternating))]
     limit = 64
     got = packing.pack(docs_of(rows), PATH, limit, with_ids=True).collect()
     want = Counter()
