@@ -255,8 +255,11 @@ def test_search_modes(items, df, index):
         search("other", df, df, 3)
     with pytest.raises(ValueError, match="index"):
         search("ann", df, df, 3)
-    found = search("ann", df, df, 3, index=index, nprobe=5)
-    assert as_dict(found) == overfetched(items, 3, index.n)
+    for mode in ("ann", "bounded"):
+        found = search(mode, df, df, 3, index=index, nprobe=5)
+        assert as_dict(found) == top_k(items, 3)
+        found = search(mode, df, df, 3, index=index, nprobe=5, steps=STEP)
+        assert as_dict(found) == top_k(items, 3, predict=by_steps(STEP))
 
 
 def test_pool_keeps_more_than_the_limit(df, index):
