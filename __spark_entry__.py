@@ -21,17 +21,20 @@ from kindred.functions.display import edge_text  # noqa: E402
 from kindred.operators import edges as edge_ops  # noqa: E402
 from kindred.operators import feedback as feedback_ops  # noqa: E402
 from kindred.operators import judge, lookups, reports, rerank  # noqa: E402
-from kindred.operators.cells import CellIndex, cell_top_k  # noqa: E402
+from kindred.operators.cells import CellIndex  # noqa: E402
+from kindred.operators.descent import neighbour_graph  # noqa: E402
 from kindred.operators.encode import encode_by_words  # noqa: E402
 from kindred.operators.extract import describe, read_markup, sample_plain  # noqa: E402
+from kindred.operators.graph_index import GraphIndex, graph_top_k  # noqa: E402
 from kindred.operators.kernel import Rules  # noqa: E402
+from kindred.operators.rounds import bounded_top_k, filled_top_k, probes_for  # noqa: E402
 from kindred.operators.similarity import (  # noqa: E402
     exact_top_k,
     library_items,
     top_k_overfetched,
 )
 from kindred.plans import stand_ins  # noqa: E402
-from kindred.plans.similar import ANN, bulk_edges, search, similar_books  # noqa: E402
+from kindred.plans.similar import ANN, EXACT, bulk_edges, search, similar_books  # noqa: E402
 from kindred.schemas import AUTHORS, BOOK_AUTHORS, FEEDBACK, FEEDBACK_JSON  # noqa: E402
 from kindred.session import ship, stage, work_path  # noqa: E402
 from kindred.sources import feedback_json, tables  # noqa: E402
@@ -54,6 +57,8 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = llm_queries = None
 
 K = 10
+# Fixed value: edges that the bulk job keeps of a book.
+BULK = 100
 URL = stand_ins.LIBRARY_URL
 
 
@@ -305,15 +310,37 @@ def ann_full_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The index search with as many probes as a measured recall asks for."""
     items = _items(spark, sf)
-    return cell_top_k(items, CellIndex.build(items), K, nprobe=8)
+    index = CellIndex.build(items)
+    return filled_top_k(items, index, K, nprobe=probes_for(index, K)).lists
 
 
 def ann_vs_exact(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
-    exact = exact_top_k(items, items, K)
-    near = cell_top_k(items, CellIndex.build(items), K, nprobe=8)
-    return reports.overlap(exact, near)
+    return reports.overlap(exact_top_k(items, items, K), ann_topk(spark, sf))
+
+
+def ann_given_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Three probes of cells around given vectors; short lists go on to more cells."""
+    items = stage(_items(spark, sf), "items")
+    index = CellIndex.build(items, around=items.where("id % 25 = 0"))
+    return filled_top_k(items, index, K, Rules(same_author=True), nprobe=3).lists
+
+
+def topk_cell_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact lists from an index, each source visiting only cells that can matter."""
+    items = _items(spark, sf)
+    return bounded_top_k(items, CellIndex.build(items), K, Rules(same_title=False, dedup="none")).lists
+
+
+def cell_visits(spark: SparkSession, sf: str) -> DataFrame:
+    """What the exact search over cells looked at: vectors as given, and documents by their words."""
+    found = []
+    for name, items in (("embeddings", _items(spark, sf)), ("documents", _document_items(spark, sf))):
+        visits = bounded_top_k(items, CellIndex.build(items), K, Rules(same_title=False, dedup="none"))
+        found.append((name, visits.rounds, visits.compared, visits.possible, visits.skipped))
+    return spark.createDataFrame(found, "vectors string, rounds int, compared long, possible long, skipped double")
 
 
 def similar_of_most_rated(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,25 +375,59 @@ def cached_or_compute_all(spark: SparkSession, sf: str) -> DataFrame:
 def bulk_ranked_view(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: edges of all books, shown with titles, authors, links and ratings."""
     books = stand_ins.books(spark, sf)
-    edges = bulk_edges(books, stand_ins.vectors(spark, sf), limit=K)
-    view = edge_ops.ranked_view(edges, books, _feedback(spark, sf), K, URL)
+    edges = bulk_edges(books, stand_ins.vectors(spark, sf), limit=BULK, mode=EXACT)
+    view = edge_ops.ranked_view(edges, books, _feedback(spark, sf), BULK, URL)
     return _flat_view(view)
 
 
+def bulk_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of all books from a graph index: the bulk job as it runs by default."""
+    return bulk_edges(stand_ins.books(spark, sf), stand_ins.vectors(spark, sf), limit=BULK)
+
+
+def neighbour_graph_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour graph by descent against the exact lists: rows of each, and the share found."""
+    items = _items(spark, sf)
+    exact = exact_top_k(items, items, BULK, Rules(same_title=False, dedup="none"))
+    lists = neighbour_graph(items, BULK).lists
+    return reports.overlap(exact, lists.select(F.col("id").alias("book_id"), F.col("nbr").alias("similar_book_id")))
+
+
+def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
+    items = stage(_items(spark, sf), "items")
+    return graph_top_k(items, GraphIndex.build(items), K).lists
+
+
+def graph_vs_exact(spark: SparkSession, sf: str) -> DataFrame:
+    items = stage(_items(spark, sf), "items")
+    return reports.overlap(exact_top_k(items, items, K), graph_top_k(items, GraphIndex.build(items), K).lists)
+
+
+def graph_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph index of half of the books, grown by the others, against the exact lists."""
+    items = stage(_items(spark, sf), "items")
+    index = GraphIndex.build(items.where("id % 2 = 0")).insert(items.where("id % 2 = 1"))
+    return reports.overlap(exact_top_k(items, items, K), graph_top_k(items, index, K).lists)
+
+
 def documents_similar(spark: SparkSession, sf: str) -> DataFrame:
     """Documents end to end: sample, encode, similar documents."""
+    items = _document_items(spark, sf)
+    return exact_top_k(items, items, K, Rules(dedup="none"))
+
+
+def _document_items(spark: SparkSession, sf: str) -> DataFrame:
     docs = stand_ins.table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     sampled = sample_plain(stand_ins.spread(docs))
     # As in a library, vectors are stored once and searched from there.
     encoded = stage(encode_by_words(sampled).select("doc_id", "lang", "embedding"), "encoded")
-    items = encoded.select(
+    return encoded.select(
         F.col("doc_id").alias("id"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".fb2")).alias("file"),
         F.lit(None).cast("string").alias("title"),
         F.array("lang").alias("authors"),
         F.col("embedding").alias("vec"),
     )
-    return exact_top_k(items, items, K, Rules(dedup="none"))
 
 
 # --------------------------------------------------------------------------- edges
@@ -590,9 +651,11 @@ QUERIES = [
     paragraph_sample, fb2_extract, page_extract, archive_listing, stream_ingest,
     vector_norm, blob_round_trip, blob_components, cosine_pairs,
     topk_exact_raw, topk_dedup, topk_first_title, topk_other_authors, topk_overfetch,
-    ann_full_probe, ann_topk, ann_vs_exact, similar_of_most_rated, cached_or_compute,
+    topk_cell_bounds, cell_visits,
+    ann_full_probe, ann_topk, ann_vs_exact, ann_given_cells, graph_topk, graph_vs_exact, graph_insert,
+    similar_of_most_rated, cached_or_compute,
     cached_or_compute_all,
-    bulk_ranked_view, documents_similar,
+    bulk_ranked_view, bulk_graph_edges, neighbour_graph_recall, documents_similar,
     edges_enriched, edge_export, edge_texts, edge_lists, edge_replace, touched_ids,
     edges_after_dislikes, edges_not_disliked, rating_attach, boosted_score,
     feedback_current, feedback_ids, feedback_mean, feedback_exchange, unresolved_commands,

@@ -11,6 +11,7 @@ from kindred.plans.stand_ins import LIBRARY_URL, SQL_VIEWS
 from kindred.sources.markup import BOOK_NAMESPACE
 
 K = 10
+BULK = 100
 
 VIEWS = {
     **SQL_VIEWS,
@@ -59,6 +60,27 @@ VIEWS = {
         SELECT book_id, similar_book_id, score,
                row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
         FROM best QUALIFY rank <= {K}""",
+    "topk_bulk": f"""
+        SELECT book_id, similar_book_id, score,
+               row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
+        FROM best QUALIFY rank <= {BULK}""",
+    "cells": "SELECT row_number() OVER (ORDER BY id) - 1 AS cell, vec FROM items WHERE id % 25 = 0",
+    "near_cells": """
+        SELECT i.id, c.cell, row_number() OVER (PARTITION BY i.id
+                   ORDER BY round(list_cosine_similarity(i.vec, c.vec), 9) DESC, c.cell) - 1 AS place
+        FROM items i CROSS JOIN cells c""",
+    "homes": "SELECT id, cell FROM near_cells WHERE place = 0",
+    "visits": """
+        SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS place
+        FROM near_cells WHERE cell IN (SELECT cell FROM homes)""",
+    "met": """
+        SELECT a.*, v.place FROM allowed a JOIN homes h ON h.id = a.similar_book_id
+        JOIN visits v ON v.id = a.book_id AND v.cell = h.cell WHERE NOT a.same_author""",
+    "met_keys": """
+        SELECT book_id, min(place) AS place FROM met GROUP BY book_id, title, key_authors""",
+    "visited": f"""
+        SELECT book_id, 3 * 2 ** greatest(0, ceil(log2((place + 1) / 3.0))) AS cells
+        FROM met_keys QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY place) = {K}""",
     "top_edges": f"""
         SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
         FROM edges QUALIFY rank <= {K}""",
@@ -290,7 +312,40 @@ TWINS = {
         {_LISTED} WHERE book_id IN (SELECT source_book_id FROM commands)
         AND book_id NOT IN (SELECT book_id FROM ({_STRONG}))""",
     ),
-    "bulk_ranked_view": _using("topk book_list rated", _view("topk")),
+    "topk_cell_bounds": _using(
+        "all_pairs",
+        f"""
+        SELECT book_id, similar_book_id, score,
+               row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
+        FROM all_pairs WHERE NOT same_file QUALIFY rank <= {K}""",
+    ),
+    "ann_given_cells": _using(
+        "met visited",
+        f"""
+        SELECT book_id, similar_book_id, score,
+               row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
+        FROM (SELECT m.* FROM met m LEFT JOIN visited v ON v.book_id = m.book_id
+              WHERE v.cells IS NULL OR m.place < v.cells
+              QUALIFY row_number() OVER (PARTITION BY m.book_id, title, key_authors
+                                         ORDER BY score DESC, similar_book_id) = 1)
+        QUALIFY rank <= {K}""",
+    ),
+    "cached_or_compute_all": _using(
+        "topk commands edges",
+        f"""
+        SELECT book_id, similar_book_id, score, rank FROM (
+            SELECT book_id, similar_book_id, score,
+                   row_number() OVER (PARTITION BY book_id ORDER BY score DESC, similar_book_id) AS rank
+            FROM edges WHERE book_id IN (SELECT source_book_id FROM commands)
+        ) WHERE rank <= {K}
+        UNION ALL
+        {_LISTED} WHERE book_id IN (SELECT source_book_id FROM commands)
+        AND book_id NOT IN (SELECT book_id FROM edges)""",
+    ),
+    "blob_components": """
+        SELECT vec_id AS book_id, unnest(range(len(embedding)))::INT AS place, unnest(embedding) AS value
+        FROM embeddings""",
+    "bulk_ranked_view": _using("topk_bulk book_list rated", _view("topk_bulk")),
     "edges_enriched": _using("top_edges book_list rated", _view("top_edges")),
     "edge_export": _using(
         "top_edges books",
