@@ -2,21 +2,19 @@
 
 The change functions take the old table and a batch and return the new table. Batches are
 small against tables, so each is an anti-join that Spark turns into a broadcast when the
-batch is small enough, and the old rows are not shuffled. ``VersionedTable`` writes every new
-state beside the old one; a path that is being read is never overwritten.
+batch is small enough, and the old rows are not shuffled. Tables on disk are those of ``store``: every new
+state lies beside the old one, and a path that is being read is never overwritten.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from kindred.session import union
+from kindred.sources.store import Store, Table
 
 # Hex digits of a key's hash that pick its numbering group: 4,096 groups.
 GROUP_DIGITS = 3
@@ -147,57 +145,37 @@ def save_feedback(feedback: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A table under one path whose every state is a list of finished parquet folders.
+    """One table without a key, in a ``Store`` of its own.
 
-    ``write`` starts a new list, ``append`` adds a folder to it. A one-row mark, written
-    last, makes a state count; folders that are being read are never touched. A ``token``
-    names a change: the same change again (a replayed stream batch) does nothing.
+    ``write`` starts anew, ``append`` adds rows. A ``token`` names a change: the same change again (a
+    replayed stream batch) does nothing. Of tokens ``name-number`` only the last number of a name is
+    kept, so they must grow.
     """
 
-    MARKS = "version long, token string, folders array<string>"
-
     def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.store = Store(spark, path, {"rows": Table(schema, buckets=1)})
 
     def read(self) -> DataFrame:
-        marks = self._marks()
-        if not marks:
-            return self.spark.createDataFrame([], self.schema)
-        folders = [f"{self.path}/{f}" for f in marks[-1].folders]
-        return self.spark.read.schema(self.schema).parquet(*folders)
+        return self.store.read("rows")
 
     def write(self, rows: DataFrame, token: str | None = None) -> DataFrame:
-        return self._change(rows, token, keep=False)
+        self.store.commit(replaced={"rows": rows}, mark=mark_of(token))
+        return self.read()
 
     def append(self, rows: DataFrame, token: str | None = None) -> DataFrame:
-        return self._change(rows, token, keep=True)
+        self.store.commit({"rows": rows}, mark=mark_of(token))
+        return self.read()
 
     def version(self) -> int:
-        marks = self._marks()
-        return marks[-1].version if marks else 0
+        return self.store.state().version
 
     def has(self, token: str) -> bool:
-        return any(m.token == token for m in self._marks())
-
-    def _change(self, rows: DataFrame, token: str | None, keep: bool) -> DataFrame:
-        marks = self._marks()
-        if token is None or all(m.token != token for m in marks):
-            version = marks[-1].version + 1 if marks else 1
-            # A change that died half way leaves a folder no mark names.
-            folder = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
-            columns = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
-            rows.select(*columns).write.parquet(f"{self.path}/{folder}")
-            folders = (list(marks[-1].folders) if keep and marks else []) + [folder]
-            mark = self.spark.createDataFrame([(version, token, folders)], self.MARKS)
-            mark.coalesce(1).write.mode("append").json(f"{self.path}/marks")
-        return self.read()
+        return self.store.applied(*mark_of(token))
+
 
-    def _marks(self) -> list:
-        """One small row per change, oldest first."""
-        try:
-            marks = self.spark.read.schema(self.MARKS).json(f"{self.path}/marks")
-            return sorted(marks.collect(), key=lambda m: m.version)
-        except AnalysisException as failure:
-            if failure.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
+def mark_of(token: str | None) -> tuple[str, int] | None:
+    """A token as (source, number)."""
+    if token is None:
+        return None
+    name, _, number = token.rpartition("-")
+    return (name, int(number)) if name and number.isdigit() else (token, 0)

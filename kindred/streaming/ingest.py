@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,30 +21,35 @@ from kindred.sources.catalogue import (
     parse_lines,
     unseen,
 )
-from kindred.sources.tables import VersionedTable
+from kindred.sources.store import State, Store, Table
+from kindred.sources.tables import BOOK_KEY, mark_of
 
 REJECTED = StructType([StructField(n, StringType()) for n in ("archive", "book", "error")])
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
+TABLES = {
+    "books": Table(schemas.BOOKS, tuple(BOOK_KEY)),
+    "embeddings": Table(schemas.EMBEDDINGS, ("book_id",)),
+    "authors": Table(schemas.AUTHORS, ("id",)),
+    "book_authors": Table(schemas.BOOK_AUTHORS, ("book_id",)),
+    "rejected": Table(REJECTED),
+}
+
+
 class LibraryStore:
-    """The four library tables and rejected books under one path."""
+    """The four library tables and rejected books under one path; a batch changes all of them or none."""
 
     def __init__(self, spark: SparkSession, path: str):
-        def table(name: str, schema: StructType) -> VersionedTable:
-            return VersionedTable(spark, f"{path}/{name}", schema)
-
         self.spark = spark
-        self.books = table("books", schemas.BOOKS)
-        self.embeddings = table("embeddings", schemas.EMBEDDINGS)
-        self.authors = table("authors", schemas.AUTHORS)
-        self.book_authors = table("book_authors", schemas.BOOK_AUTHORS)
-        self.rejected = table("rejected", REJECTED)
+        self.store = Store(spark, path, TABLES)
 
-    def read(self) -> Library:
-        return Library(
-            self.books.read(), self.embeddings.read(), self.authors.read(), self.book_authors.read()
-        )
+    def table(self, name: str) -> DataFrame:
+        return self.store.read(name)
+
+    def read(self, state: State | None = None) -> Library:
+        state = state or self.store.state()
+        return Library(*[self.store.read(name, state) for name in list(TABLES)[:4]])
 
     def add(
         self,
@@ -55,30 +59,33 @@ class LibraryStore:
         token: str,
         unlisted: DataFrame | None = None,
     ) -> None:
-        """Read the found books that are new and append them; the same token twice adds once.
-
-        Documents that cannot be read go to ``rejected``, and so do ``unlisted`` archives.
+        """Read the found books that are new and add them; the same token twice adds once.
 
-        Books are appended last: until then an interrupted batch is not "seen", and what
-        its first attempt wrote is recognised by the token.
+        Documents that cannot be read go to ``rejected``, and so do ``unlisted`` archives. Ids are
+        numbered after those of the state the batch started from: should another writer have changed
+        the library meanwhile, ``Conflict`` is raised, and the batch can be run again.
         """
-        if self.books.has(token):
+        state, mark = self.store.state(), mark_of(token)
+        if self.store.applied(*mark, state):
             return
-        spark = self.spark
         # The archives are read once, into the shared folder; all tables are made from that.
-        library = self.read()
+        library = self.read(state)
         new = stage(unseen(found, library.books), "found")
         numbered = stage(with_ids(new, library.books), "numbered")
         read = stage(read_books(numbered, folder), "read")
         good, bad = read.where("error IS NULL").drop("error"), read.where("error IS NOT NULL")
         bad = bad.select(REJECTED.names)
-        self.rejected.append(bad if unlisted is None else union(bad, unlisted), token)
-        self.authors.append(changes(library, good, encoder).authors, token)
-        # From here on author ids come from the table.
-        new = changes(replace(library, authors=self.authors.read()), good, encoder)
-        self.book_authors.append(new.book_authors, token)
-        self.embeddings.append(new.embeddings, token)
-        self.books.append(new.books, token)
+        new = changes(library, good, encoder)
+        rows = {
+            "books": new.books,
+            "embeddings": new.embeddings,
+            "authors": new.authors,
+            "book_authors": new.book_authors,
+            "rejected": bad if unlisted is None else union(bad, unlisted),
+        }
+        self.store.commit(rows, mark=mark, based_on=state.version)
+        for name in TABLES:
+            self.store.compact(name)
 
 
 def archive_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -173,31 +173,31 @@ def test_archives_as_a_stream(spark, library, tmp_path):
         ).awaitTermination()
 
     run()
-    assert store.books.read().count() == 3
-    assert [r.archive for r in store.rejected.read().collect()] == ["broken.zip"]
+    assert store.table("books").count() == 3
+    assert [r.archive for r in store.table("rejected").collect()] == ["broken.zip"]
     write_zip(library / "three.zip", {"3.fb2": book(paragraphs(1), "Copy"), "4.fb2": book(paragraphs(1), "Four")})
     run()
-    books = {r.book: r for r in store.books.read().collect()}
+    books = {r.book: r for r in store.table("books").collect()}
     assert set(books) == {"1.fb2", "2.fb2", "3.fb2", "4.fb2"} and books["3.fb2"].title == "Three"
-    assert len({r.id for r in books.values()}) == 4 and store.embeddings.read().count() == 4
-    assert store.book_authors.read().count() == 3 and store.authors.read().count() == 2
+    assert len({r.id for r in books.values()}) == 4 and store.table("embeddings").count() == 4
+    assert store.table("book_authors").count() == 3 and store.table("authors").count() == 2
 
 
 def test_half_done_batch_is_finished_by_its_replay(spark, library, tmp_path, monkeypatch):
     store = ingest.LibraryStore(spark, str(tmp_path / "store"))
     found, broken = ingest.books_of_archives(list_members(spark, str(library)).select("path").distinct())
     encoder = lambda t: encode_by_words(t, dimensions=16, weigh=False)
-    append = store.embeddings.append
-    monkeypatch.setattr(store.embeddings, "append", lambda *a: (append(*a), 1 / 0))
+    write = store.store._write
+    monkeypatch.setattr(store.store, "_write", lambda name, *a: write(name, *a) if name != "authors" else 1 / 0)
     with pytest.raises(ZeroDivisionError):
         store.add(found, str(library), encoder, "q-0")
-    assert store.books.read().count() == 0
+    assert store.table("books").count() == store.table("embeddings").count() == 0
     monkeypatch.undo()
     store.add(found, str(library), encoder, "q-0", broken)
     store.add(found, str(library), encoder, "q-0", broken)
-    ids = sorted(r.id for r in store.books.read().collect())
-    assert ids == sorted(r.book_id for r in store.embeddings.read().collect()) == [1, 2, 3]
-    assert store.book_authors.read().count() == 2
+    ids = sorted(r.id for r in store.table("books").collect())
+    assert ids == sorted(r.book_id for r in store.table("embeddings").collect()) == [1, 2, 3]
+    assert store.table("book_authors").count() == 2
 
 
 def test_catalogue_lines_as_a_stream(spark, library, tmp_path):
@@ -210,7 +210,7 @@ def test_catalogue_lines_as_a_stream(spark, library, tmp_path):
         ingest.line_stream(spark, str(lines)), ingest.books_of_lines, str(library), store,
         lambda t: encode_by_words(t, dimensions=16, weigh=False), str(tmp_path / "state"), available_now=True,
     ).awaitTermination()
-    row = store.books.read().first()
+    row = store.table("books").first()
     assert (row.book, row.archive, row.title, row.author, row.uid) == ("3.fb2", "two.zip", "Known", "X Y", "id-1")
 
 
