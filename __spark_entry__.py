@@ -35,7 +35,7 @@ from kindred.operators.similarity import (  # noqa: E402
 )
 from kindred.plans import stand_ins  # noqa: E402
 from kindred.plans.similar import ANN, EXACT, bulk_edges, search, similar_books  # noqa: E402
-from kindred.schemas import AUTHORS, BOOK_AUTHORS, FEEDBACK, FEEDBACK_JSON  # noqa: E402
+from kindred.schemas import AUTHORS, BOOK_AUTHORS, EMBEDDINGS, FEEDBACK, FEEDBACK_JSON, SIMILAR  # noqa: E402
 from kindred.session import ship, stage, work_path  # noqa: E402
 from kindred.sources import feedback_json, tables  # noqa: E402
 from kindred.sources.archives import list_members  # noqa: E402
@@ -45,6 +45,7 @@ from kindred.sources.catalogue import (  # noqa: E402
     parse_lines,
     unseen,
 )
+from kindred.sources.store import Store, Table  # noqa: E402
 from kindred.streaming import feedback as feedback_stream  # noqa: E402
 from kindred.streaming import ingest as ingest_stream  # noqa: E402
 
@@ -261,6 +262,13 @@ def blob_components(spark: SparkSession, sf: str) -> DataFrame:
     return blobs.select("book_id", F.posexplode(vectors.decode_blob("blob")).alias("place", "value"))
 
 
+def unit_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as they are stored and read back: normalised on both ways."""
+    stored = stand_ins.vectors(spark, sf).select("book_id", vectors.vector_to_store("embedding").alias("blob"))
+    read = stored.select("book_id", F.length("blob").alias("n_bytes"), F.posexplode(vectors.stored_vector("blob")).alias("place", "value"))
+    return read.withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of the vectors at both ends of every edge."""
     vecs = stand_ins.vectors(spark, sf)
@@ -467,6 +475,103 @@ def edge_replace(spark: SparkSession, sf: str) -> DataFrame:
     return tables.replace_groups(stand_ins.edges(spark, sf), new, "book_id")
 
 
+def _edge_store(spark: SparkSession, sf: str) -> Store:
+    store = Store(spark, work_path(spark, "edges"), {"similar": Table(SIMILAR, ("book_id",))})
+    store.commit(replaced={"similar": stand_ins.edges(spark, sf)})
+    return store
+
+
+def edge_replace_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on disk: a batch of the stored table adds its own files and rewrites none."""
+    store, items = _edge_store(spark, sf), _items(spark, sf)
+    store.commit({"similar": exact_top_k(items, items, K)})
+    return store.read("similar")
+
+
+def edges_of_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored edges after those of every tenth book were deleted, and the table folded."""
+    store = _edge_store(spark, sf)
+    gone = stand_ins.books(spark, sf).where("id % 10 = 0").select(F.col("id").alias("book_id"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in SIMILAR.fields[1:]]
+    store.commit(removed={"similar": gone.select("book_id", *nothing)})
+    store.compact("similar", most=1)
+    return store.read("similar")
+
+
+def edges_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of new pairs beside those there are."""
+    edges = stand_ins.edges(spark, sf)
+    back = edges.select(F.col("similar_book_id").alias("book_id"), F.col("book_id").alias("similar_book_id"), "score")
+    return tables.append(edges, back)
+
+
+def embedding_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors after a second batch: every third turned round, and new ones."""
+    vecs = stand_ins.vectors(spark, sf)
+    store = Store(spark, work_path(spark, "vectors"), {"embeddings": Table(EMBEDDINGS, ("book_id",))})
+    store.commit({"embeddings": vecs.where("book_id % 5 <> 1")})
+    again = vecs.where("book_id % 3 = 0 OR book_id % 5 = 1")
+    turned = F.transform("embedding", lambda x: -x)
+    store.commit({"embeddings": tables.save_embeddings(again, again.where("book_id % 3 = 0").withColumn("embedding", turned))})
+    return store.read("embeddings").select("book_id", F.posexplode("embedding").alias("place", "value"))
+
+
+def author_bridge_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of all books after half of them, and then all with other names for some, were saved."""
+    books = stand_ins.books(spark, sf)
+    named = books.select(F.col("id").alias("book_id"), text.author_list(F.col("author")).alias("authors"))
+    changed = F.when(F.col("book_id") % 7 == 0, F.array(F.lit("Someone"), F.element_at("authors", 1))).otherwise(F.col("authors"))
+    none = spark.createDataFrame([], AUTHORS), spark.createDataFrame([], BOOK_AUTHORS)
+    half = tables.save_authors(*none, named.where("book_id % 2 = 0"))
+    authors, bridge = tables.save_authors(*half, named.withColumn("authors", changed))
+    return bridge.join(authors.withColumnRenamed("id", "author_id"), "author_id").select("book_id", "name")
+
+
+def requests_not_served(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for the books of all customers: unknown files, and books that have neither edges nor a vector."""
+    customers = stand_ins.table(spark, sf, "customer")
+    requests = customers.select(F.concat((F.col("c_custkey") * 3).cast("string"), F.lit(".fb2")).alias("file_name"))
+    books, vecs, edges = stand_ins.books(spark, sf), stand_ins.vectors(spark, sf), stand_ins.edges(spark, sf)
+    answer = similar_books(requests, books, vecs, edges.where("book_id % 2 = 0"), limit=K)
+    unknown = answer.unknown.select(F.lit("unknown").alias("what"), "file_name")
+    bare = answer.without_vector.join(books.withColumnRenamed("id", "book_id"), "book_id")
+    return unknown.unionByName(bare.select(F.lit("no vector").alias("what"), F.col("book").alias("file_name")))
+
+
+def book_of_file(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.book_by_file(stand_ins.books(spark, sf), "7.fb2")
+
+
+def vector_of_book(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookups.vector_of(stand_ins.vectors(spark, sf), 7)
+    return found.select("book_id", F.posexplode("embedding").alias("place", "value"))
+
+
+def feedback_of_book(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.feedback_of(_feedback(spark, sf), 7).select("candidate_book_id", "label")
+
+
+def books_with_edges(spark: SparkSession, sf: str) -> DataFrame:
+    requests = stand_ins.books(spark, sf).select(F.col("id").alias("book_id"))
+    return edge_ops.with_edges(requests, stand_ins.edges(spark, sf).where("book_id % 2 = 0"))
+
+
+def file_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the files that line items are copies of."""
+    rows = stand_ins.table(spark, sf, "lineitem")
+    return lookups.file_names(rows.select(F.concat(F.col("l_partkey").cast("string"), F.lit(".fb2")).alias("book")))
+
+
+def named_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and authors of documents: the catalogue's where it has them, else those of the document."""
+    read = describe(read_markup(stand_ins.document_books(spark, sf).select("doc_id", "content")))
+    odd = F.col("doc_id") % 3
+    known = F.when(odd == 0, F.lit("")).when(odd == 1, F.concat(F.lit("Known "), F.col("doc_id").cast("string")))
+    names = F.when(odd == 2, F.array(F.lit("A"), F.lit("B"))).when(odd == 1, F.array().cast("array<string>"))
+    both = text.fallback_list(names, F.col("authors"))
+    return read.select("doc_id", text.fallback(known, F.col("title")).alias("title"), F.array_join(both, "; ").alias("author"))
+
+
 def touched_ids(spark: SparkSession, sf: str) -> DataFrame:
     return edge_ops.touched_ids(stand_ins.edges(spark, sf), "book_id", "similar_book_id")
 
@@ -649,14 +754,16 @@ QUERIES = [
     catalogue_parse, incremental_new_books, author_dim, author_bridge, book_upsert,
     books_of_rated, one_book_per_file, books_with_vectors, vector_count,
     paragraph_sample, fb2_extract, page_extract, archive_listing, stream_ingest,
-    vector_norm, blob_round_trip, blob_components, cosine_pairs,
+    vector_norm, blob_round_trip, blob_components, unit_blobs, cosine_pairs,
     topk_exact_raw, topk_dedup, topk_first_title, topk_other_authors, topk_overfetch,
     topk_cell_bounds, cell_visits,
     ann_full_probe, ann_topk, ann_vs_exact, ann_given_cells, graph_topk, graph_vs_exact, graph_insert,
     similar_of_most_rated, cached_or_compute,
     cached_or_compute_all,
     bulk_ranked_view, bulk_graph_edges, neighbour_graph_recall, documents_similar,
-    edges_enriched, edge_export, edge_texts, edge_lists, edge_replace, touched_ids,
+    edges_enriched, edge_export, edge_texts, edge_lists, edge_replace, edge_replace_stored, edges_of_deleted, edges_appended, touched_ids,
+    embedding_upsert, author_bridge_again, requests_not_served, book_of_file, vector_of_book, feedback_of_book,
+    books_with_edges, file_names, named_books,
     edges_after_dislikes, edges_not_disliked, rating_attach, boosted_score,
     feedback_current, feedback_ids, feedback_mean, feedback_exchange, unresolved_commands,
     stream_feedback, stream_edges, star_map, judge_labels, judge_prompts, judged_edges,

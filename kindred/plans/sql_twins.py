@@ -345,6 +345,50 @@ TWINS = {
     "blob_components": """
         SELECT vec_id AS book_id, unnest(range(len(embedding)))::INT AS place, unnest(embedding) AS value
         FROM embeddings""",
+    "unit_blobs": _using(
+        "unit_vectors",
+        """
+        SELECT book_id, n_bytes, place, round(CAST(x / norm AS FLOAT)::DOUBLE, 5) AS value FROM (
+            SELECT book_id, 4 * len(vec)::INT AS n_bytes, unnest(range(len(vec)))::INT AS place,
+                   unnest(vec) AS x, sqrt(list_inner_product(vec, vec)) AS norm
+            FROM unit_vectors)""",
+    ),
+    "edges_of_deleted": _using("edges", "SELECT * FROM edges WHERE book_id % 10 <> 0 OR book_id NOT IN (SELECT p_partkey FROM part)"),
+    "edges_appended": _using(
+        "edges",
+        "SELECT * FROM edges UNION ALL SELECT similar_book_id AS book_id, book_id AS similar_book_id, score FROM edges",
+    ),
+    "embedding_upsert": """
+        SELECT vec_id AS book_id, unnest(range(len(embedding)))::INT AS place,
+               CASE WHEN vec_id % 3 = 0 THEN -unnest(embedding) ELSE unnest(embedding) END AS value
+        FROM embeddings""",
+    "author_bridge_again": _using(
+        "book_list",
+        """
+        SELECT id AS book_id, unnest(list_distinct(CASE WHEN id % 7 = 0 THEN ['Someone', authors[1]] ELSE authors END)) AS name
+        FROM book_list""",
+    ),
+    "requests_not_served": _using(
+        "books edges vectors",
+        """
+        SELECT CASE WHEN b.id IS NULL THEN 'unknown' ELSE 'no vector' END AS what, file_name
+        FROM (SELECT DISTINCT c_custkey * 3 || '.fb2' AS file_name FROM customer) LEFT JOIN books b ON b.book = file_name
+        WHERE b.id IS NULL OR (b.id NOT IN (SELECT book_id FROM edges WHERE book_id % 2 = 0)
+                               AND b.id NOT IN (SELECT book_id FROM vectors))""",
+    ),
+    "book_of_file": _using("books", "SELECT id, book, archive, title, author FROM books WHERE book = '7.fb2'"),
+    "vector_of_book": """
+        SELECT vec_id AS book_id, unnest(range(len(embedding)))::INT AS place, unnest(embedding) AS value
+        FROM embeddings WHERE vec_id = 7""",
+    "feedback_of_book": _using("feedback", "SELECT candidate_book_id, label FROM feedback WHERE source_book_id = 7"),
+    "books_with_edges": _using(
+        "books edges", "SELECT id AS book_id FROM books WHERE id IN (SELECT book_id FROM edges WHERE book_id % 2 = 0)"
+    ),
+    "file_names": "SELECT DISTINCT l_partkey || '.fb2' AS book FROM lineitem",
+    "named_books": """
+        SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'Known ' || doc_id ELSE 'Document ' || doc_id END AS title,
+               CASE WHEN doc_id % 3 = 2 THEN 'A; B' ELSE lang || ' ' || source END AS author
+        FROM documents""",
     "bulk_ranked_view": _using("topk_bulk book_list rated", _view("topk_bulk")),
     "edges_enriched": _using("top_edges book_list rated", _view("top_edges")),
     "edge_export": _using(
@@ -460,3 +504,4 @@ TWINS = {
         LEFT JOIN edges e ON e.book_id = r.book_id AND e.similar_book_id = r.similar_book_id""",
     ),
 }
+TWINS["edge_replace_stored"] = TWINS["edge_replace"]

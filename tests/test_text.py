@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions import labels, text
+from kindred.functions import labels, text, vectors
 from kindred.functions.display import edge_text, file_url, judge_prompt, percent_text, search_url
 from kindred.functions.vectors import cosine, decode_blob, encode_blob, has_direction, l2_norm, normalise
 from kindred.operators.extract import sample_plain
@@ -141,3 +141,18 @@ def test_display(spark):
     assert one(spark, edge_text(F.lit(0.1234), F.lit(5), F.lit(6))) == "0.123 — 5 → 6"
     prompt = one(spark, judge_prompt(F.lit("T"), F.lit(None).cast("string"), F.lit("C"), F.lit("A")))
     assert "Название: T\n    Автор: None\n" in prompt and prompt.startswith("\n    Оцени")
+
+
+def test_stored_vectors(spark):
+    rows = [(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, []), (5, [1e-10, 0.0]), (6, [-2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>").coalesce(1)
+    blobs = df.select("id", vectors.vector_to_store("v").alias("b"), vectors.encode_blob("v").alias("raw"))
+    got = {r.id: (r.b, r.back, r.raw) for r in blobs.select("*", vectors.stored_vector("b").alias("back"), vectors.decode_blob("raw").alias("r")).collect()}
+    assert got[1][1] == pytest.approx([0.6, 0.8]) and got[6][1] == [-1.0, 0.0, 0.0]
+    assert got[2] == (None, None, None) and [got[k][1] for k in (3, 4, 5)] == [None] * 3
+    assert bytes(got[3][0]) == bytes(8) == bytes(got[5][0]) and bytes(got[4][0]) == b""
+    assert {r.id: r.r for r in blobs.select("id", vectors.decode_blob("raw").alias("r")).collect()} == {k: v if v is None else [pytest.approx(x) for x in v] for k, v in rows}
+    assert blobs.limit(0).select(vectors.stored_vector("b")).count() == 0
+    broken = spark.createDataFrame([(bytearray(b"abc"),)], "b binary")
+    with pytest.raises(Exception, match="whole float32"):
+        broken.select(vectors.decode_blob("b")).collect()
