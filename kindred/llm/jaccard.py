@@ -12,7 +12,10 @@ Two texts link when their sets of word shingles have a Jaccard similarity of at
 3. In a task the shingles of the group have inverted lists. For each text, shortest first, the
    short lists are merged, documents that reach the threshold less the number of long lists are
    probed in those by binary search (DivideSkip), and those that reach the required overlap link.
-   A text is not probed against documents it is already connected with.
+   A shingle that most texts of the group have is listed by the texts that lack it, which count
+   down from one: among near copies nearly all lists are then short.
+
+Every pair of different sets is looked at once and every link is counted, for all copies of either.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from kindred.session import parallelism
 PART = 1 << 20
 #: Weight of a binary probe against a merged entry, for the number of long lists.
 MU = 0.05
+#: Probes that are made at once.
+PROBES = 1 << 20
 SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -98,10 +103,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for first, made, begin in shingles(batch.column(1), width):
                 rows = len(begin) - 1
                 sizes = np.diff(begin)
-                one, two = (np.zeros(rows, np.uint64) for _ in range(2))
-                row = np.repeat(np.arange(rows), sizes)
-                np.add.at(one, row, mix(made))
-                np.add.at(two, row, mix(made ^ SECOND))
+                one, two = digests(made, begin)
                 here = np.flatnonzero(known[first : first + rows])
                 here = here[np.unique(one[here] ^ mix(two[here]), return_index=True)[1]]
                 own, lower = (lists(*found, rows) for found in signatures(made, begin, bands, here))
@@ -127,139 +129,216 @@ def candidates(sets: DataFrame) -> DataFrame:
     return staged(components(kept.select(F.col("node").alias("a"), F.col("low").alias("b"))), "groups")
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs (places in ``sets``) that connect all texts linked with each other, and no others. With
-    ``side``, only pairs of different sides are looked for."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
+class Lists:
+    """Inverted lists of the shingles of some sets, by place in the order of size."""
+
+    def __init__(self, flat: np.ndarray, position: np.ndarray, n: int):
+        _, token, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = counts[token] > 1
+        token, position = token[shared], position[shared]
+        self.n, kinds = n, len(counts)
+        self.token, self.begin = token, np.searchsorted(position, np.arange(n + 1))
+        many = np.bincount(token, minlength=kinds)
+        self.common = 2 * many > n  # listed by who lacks it
+        order = np.lexsort((position, token))
+        entries, of = position[order], token[order]
+        self.head = np.zeros(kinds + 1, np.int64)
+        self.size = np.where(self.common, n - many, many)
+        np.cumsum(self.size, out=self.head[1:])
+        self.entries = np.empty(int(self.head[-1]), np.int64)
+        rare = ~self.common[of]
+        starts = np.cumsum(many) - many
+        self.entries[self.head[of[rare]] + np.flatnonzero(rare) - starts[of[rare]]] = entries[rare]
+        shared = np.flatnonzero(self.common)
+        for at in range(0, len(shared), max(1, PROBES // n)):
+            some = shared[at : at + max(1, PROBES // n)]
+            lacks = np.ones((len(some), n), bool)
+            of_some = np.flatnonzero(~rare & (of >= some[0]) & (of <= some[-1]))
+            lacks[np.searchsorted(some, of[of_some]), entries[of_some]] = False
+            self.entries[self.head[some[0]] : self.head[some[-1] + 1]][np.repeat(self.common[some[0] : some[-1] + 1], self.size[some[0] : some[-1] + 1])] = np.nonzero(lacks)[1]
+        self.keys = np.repeat(np.arange(kinds), self.size) * np.int64(n) + self.entries
+        self.had = np.zeros(kinds, np.int64)  # earlier sets that have the shingle
+
+    def own(self, x: int) -> np.ndarray:
+        return self.token[self.begin[x] : self.begin[x + 1]]
+
+    def before(self, tokens: np.ndarray, x: int) -> np.ndarray:
+        """How many entries of some lists are sets before x."""
+        return np.where(self.common[tokens], x - self.had[tokens], self.had[tokens])
+
+    def merged(self, tokens: np.ndarray, x: int) -> np.ndarray:
+        """The entries of some lists that are sets before x."""
+        take = self.before(tokens, x)
+        edge = np.cumsum(take) - take
+        return self.entries[np.repeat(self.head[tokens] - edge, take) + np.arange(int(take.sum()))]
+
+    def probed(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """How many of some lists each place is in, by binary search."""
+        if not len(tokens) or not len(places) or not len(self.keys):
+            return np.zeros(len(places), np.int64)
+        wanted = tokens[:, None] * np.int64(self.n) + places[None, :]
+        at = np.searchsorted(self.keys, wanted)
+        return (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted).sum(0)
+
+
+def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For places x in ``sets``, all earlier ones (by size) that link with x: every link once. With ``side``,
+    only pairs of different sides are looked for."""
     n = len(sets)
     if n < 2:
         return
-    flat = np.concatenate([sets[i] for i in order])
-    position = np.repeat(np.arange(n), sizes[order])
-    _, token, lists = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = lists[token] > 1
-    token, position = token[shared], position[shared]
-    begin = np.searchsorted(position, np.arange(n + 1))
-    by_token = np.lexsort((position, token))
-    entries = position[by_token]  # inverted lists, one after the other, each by position
-    keys = token[by_token] * n + entries
-    head = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum(np.bincount(token, minlength=len(lists)), out=head[1:])
-    filled = np.zeros(len(lists), np.int64)  # entries of earlier positions
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    lists = Lists(np.concatenate([sets[i] for i in order]), np.repeat(np.arange(n), sizes), n)
     at_side = None if side is None else side[order]
-    forest = Forest(n)
     for x in range(n):
-        own = token[begin[x] : begin[x + 1]]
-        size = int(sizes[order[x]])
+        size = int(sizes[x])
         need = max(1, -(-percent * size // 100))  # no partner is larger, so the union is not smaller
-        mine = own[filled[own] > 0]
-        if len(mine) >= need:
-            lengths = filled[mine]
-            by_length = np.argsort(lengths, kind="stable")
-            mine, lengths = mine[by_length], lengths[by_length]
-            long = min(need - 1, int(need / (MU * math.log2(int(lengths[-1]) + 1) + 1)))
-            short = len(mine) - long
-            # Merge the short lists: sorted runs, merged by a stable sort.
-            take = lengths[:short]
-            edge = np.cumsum(take) - take
-            merged = np.sort(entries[np.repeat(head[mine[:short]] - edge, take) + np.arange(int(take.sum()))], kind="stable")
-            new = np.ones(len(merged), bool)
-            new[1:] = merged[1:] != merged[:-1]
-            first = np.flatnonzero(new)
-            found, seen = merged[first], np.diff(np.append(first, len(merged)))
-            fits = (seen >= need - long) & (100 * sizes[order[found]] >= percent * size)
+        first = int(np.searchsorted(sizes, -(-percent * size // 100)))  # smaller sets cannot link
+        mine = lists.own(x)
+        # Only shingles that an earlier set has can be in common.
+        mine = mine[lists.had[mine] > 0]
+        if first < x and len(mine) >= need:
+            lengths = lists.before(mine, x)
+            mine = mine[np.argsort(lengths, kind="stable")]
+            long = min(need - 1, int(need / (MU * math.log2(int(lengths.max()) + 2) + 1)))
+            short, probe = mine[: len(mine) - long], mine[len(mine) - long :]
+            lacked = lists.common[short]
+            base = int(lacked.sum())
+            if base:  # all earlier sets start from those
+                seen = np.full(x, base, np.int64)
+                seen -= np.bincount(lists.merged(short[lacked], x), minlength=x)
+                seen += np.bincount(lists.merged(short[~lacked], x), minlength=x)
+                found = first + np.flatnonzero(seen[first:] >= need - long)
+                seen = seen[found]
+            else:
+                # Merge the short lists: sorted runs, merged by a stable sort.
+                merged = np.sort(lists.merged(short, x), kind="stable")
+                found, seen = np.unique(merged, return_counts=True)
+                fits = (found >= first) & (seen >= need - long)
+                found, seen = found[fits], seen[fits]
             if at_side is not None:
-                fits &= at_side[found] != at_side[x]
-            found, seen = found[fits], seen[fits]
-            by_seen = np.argsort(-seen, kind="stable")
-            for y, count in zip(found[by_seen].tolist(), seen[by_seen].tolist(), strict=True):
-                if forest.root(x) == forest.root(y):
-                    continue
-                # Probe the long lists for y.
-                probe = mine[short:] * n + y
-                where = np.searchsorted(keys, probe)
-                both = count + int((keys[np.minimum(where, len(keys) - 1)] == probe).sum())
-                if 100 * both >= percent * (size + int(sizes[order[y]]) - both):
-                    forest.join(x, y)
-                    yield int(order[x]), int(order[y])
-        filled[own] += 1
+                other = at_side[found] != at_side[x]
+                found, seen = found[other], seen[other]
+            both = seen.copy()
+            lacked = lists.common[probe]
+            step = max(1, PROBES // max(1, len(probe)))
+            for at in range(0, len(found), step):
+                some = found[at : at + step]
+                both[at : at + step] += lists.probed(probe[~lacked], some) + int(lacked.sum()) - lists.probed(probe[lacked], some)
+            linked = found[100 * both >= percent * (size + sizes[found] - both)]
+            if len(linked):
+                yield int(order[x]), order[linked]
+        lists.had[lists.own(x)] += 1
+
+
+def connections(links: Iterator[tuple[int, np.ndarray]], weights: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of all links those that connect what they connect, and the sum of the partners' weights for each set."""
+    group = np.arange(len(weights))
+    many = np.zeros(len(weights), np.int64)
+    kept = []
+    for x, linked in links:
+        many[x] += weights[linked].sum()
+        many[linked] += weights[x]
+        groups, first = np.unique(group[linked], return_index=True)
+        for g, k in zip(groups.tolist(), first.tolist(), strict=True):
+            if g != group[x]:
+                kept.append((x, int(linked[k])))
+                group[group == g] = group[x]
+    return kept, many
+
+
+def digests(made: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set."""
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    one, two = (np.zeros(len(begin) - 1, np.uint64) for _ in range(2))
+    np.add.at(one, row, mix(made))
+    np.add.at(two, row, mix(made ^ SECOND))
+    return one, two
 
 
 def searched(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links that connect the texts of rows (grp, i, j, part, id, text): all of a tile (i, i),
-    those of different parts in a tile (i, j). Rows of a tile follow each other in a partition."""
+    """(a, b, links) of the texts of rows (grp, i, j, part, id, one, two, weight, text): pairs a, b that connect
+    all texts linked in a tile, and for each text (b null) the weights of those it links with. A tile
+    (i, i) has all pairs of its texts, (i, j) those of different parts. Rows of a tile follow each
+    other in a partition; of those with one id, what has not the set that was asked for is left out."""
 
     def run(batches):
-        key, ids, sets, sides = None, [], [], []
+        key, ids, sets, sides, weights, had = None, [], [], [], [], set()
 
         def flush():
             side = np.array(sides) if key and key[1] != key[2] else None
-            pairs = list(search(sets, percent, side))
+            pairs, many = connections(search(sets, percent, side), np.array(weights, np.int64))
+            own = np.flatnonzero(many).tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"]
+                [
+                    pa.array([ids[a] for a, _ in pairs] + [ids[a] for a in own], pa.int64()),
+                    pa.array([ids[b] for _, b in pairs] + [None] * len(own), pa.int64()),
+                    pa.array([None] * len(pairs) + many[own].tolist(), pa.int64()),
+                ],
+                ["a", "b", "links"],
             )
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            part, own = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for first, made, begin in shingles(batch.column(5), width):
+            part, own, one, two, weight = (batch.column(c).to_pylist() for c in range(3, 8))
+            for first, made, begin in shingles(batch.column(8), width):
+                found = [d.view(np.int64).tolist() for d in digests(made, begin)]
                 for r in range(len(begin) - 1):
-                    if keys[first + r] != key:
+                    k = first + r
+                    if keys[k] != key:
                         if len(sets) > 1:
                             yield flush()
-                        key, ids, sets, sides = keys[first + r], [], [], []
-                    ids.append(own[first + r])
+                        key, ids, sets, sides, weights, had = keys[k], [], [], [], [], set()
+                    name = (own[k], one[k], two[k])
+                    if name in had or (found[0][r], found[1][r]) != name[1:]:
+                        continue
+                    had.add(name)
+                    ids.append(own[k])
+                    weights.append(weight[k])
                     sets.append(made[begin[r] : begin[r + 1]].copy())
-                    sides.append(part[first + r])
+                    sides.append(part[k])
         if len(sets) > 1:
             yield flush()
 
     tiled = rows.repartition(parallelism(rows.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return tiled.select("grp", "i", "j", "part", "id", "text").mapInArrow(lean(run), "a long, b long")
+    columns = ["grp", "i", "j", "part", "id", "one", "two", "weight", "text"]
+    return tiled.select(*columns).mapInArrow(lean(run), "a long, b long, links long")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row.
+    """(doc_id, n_shingles, component_id, n_links) for every row.
 
-    Words are runs without ASCII white space, A-Z in lower case. Null or empty text has no
-    shingles and links with nothing; nor does a row without an id, whose component is null. Rows
-    that repeat an id are one document.
+    Words are runs without ASCII white space, A-Z in lower case. ``n_links`` counts the other documents that
+    a text links with, all copies included. Null or empty text has no shingles and links with nothing;
+    nor does a row without an id, whose component and links are null. Rows that repeat an id are one
+    document: where their texts differ, it is linked with what any of them links with, and each
+    row has the links of its own text.
     """
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sets = staged(described(picked, width, percent), "sets")
     real = sets.where("n > 0 AND id IS NOT NULL")
     # Exact copies of a set: the smallest id stands for them.
-    first = staged(real.groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "first")
+    first = real.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
+    first = staged(first, "first")
     groups = candidates(real).select(F.col("node").alias("one"), F.col("component").alias("grp"))
-    members = first.join(groups, "one").select("grp", F.col("rep").alias("id"), "n")
+    members = first.join(groups, "one").select("grp", F.col("rep").alias("id"), "n", "one", "two", "weight")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("many")).where("many > 1")
     cut = members.join(totals, "grp").withColumn("parts", F.ceil(F.col("total") / PART).cast("int"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("one", "two"), F.col("parts")).cast("int")
     cut = cut.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = cut.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id")
+    tiles = cut.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "one", "two", "weight")
     found = staged(searched(tiles.join(picked, "id"), width, percent), "found")
-    linked = components(found)
-    classes = first.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"))
+    linked = components(found.where("b IS NOT NULL").select("a", "b"))
+    counted = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    classes = first.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    classes = classes.select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"), links.alias("n_links"))
     out = sets.select("id", "n", "one", "two").join(classes, ["n", "one", "two"], "left")
     lone = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), lone.alias("component_id"))
+    links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), lone.alias("component_id"), links.alias("n_links"))
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

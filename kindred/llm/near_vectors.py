@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from kindred.llm.common import components, lean, staged
-from kindred.llm.jaccard import Forest
 from kindred.llm.vectors import usable
 from kindred.session import parallelism
 
@@ -34,6 +33,21 @@ CELLS = 1 << 19
 SLACK = 1e-9
 
 
+class Forest:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _moments(vectors: DataFrame) -> DataFrame:
     """(size, cell, total): sums of the products of components of the unit vectors, by length."""
 

@@ -148,8 +148,10 @@ TWINS = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-        SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON a = n.doc_id GROUP BY a""",
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        c AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT reach.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, coalesce(any_value(n_links), 0) AS n_links
+        FROM reach LEFT JOIN n ON a = n.doc_id LEFT JOIN c ON reach.a = c.a GROUP BY reach.a""",
     "op12_periodic_runs": r"""
         WITH t AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
                    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
