@@ -36,6 +36,8 @@ from kindred.session import parallelism
 PART = 1 << 20
 #: Weight of a binary probe against a merged entry, for the number of long lists.
 MU = 0.05
+#: Sets whose copies a task leaves out, at most.
+KNOWN = 500_000
 #: Probes that are made at once.
 PROBES = 1 << 20
 SECOND = np.uint64(0xA0761D6478BD642F)
@@ -87,7 +89,8 @@ def signatures(made: np.ndarray, begin: np.ndarray, bands: Bands, rows: np.ndarr
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, n, one, two, own, own_need, lower, lower_need): size and 128-bit digest of a text's set, and its
-    signatures with the number that a partner must share. Of copies in a chunk one has signatures."""
+    signatures with the number that a partner must share. Of copies in a task one has signatures, but for
+    those met after ``KNOWN`` other sets."""
     bands = Bands(percent)
 
     def lists(sig, who, need, rows):
@@ -98,6 +101,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sig[order])), pa.array(first)
 
     def run(batches):
+        had: set[int] = set()
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             for first, made, begin in shingles(batch.column(1), width):
@@ -105,7 +109,12 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes = np.diff(begin)
                 one, two = digests(made, begin)
                 here = np.flatnonzero(known[first : first + rows])
-                here = here[np.unique(one[here] ^ mix(two[here]), return_index=True)[1]]
+                codes, place = np.unique(one[here] ^ mix(two[here]), return_index=True)
+                new = [code not in had for code in codes.tolist()]
+                had.update(codes.tolist())
+                if len(had) > KNOWN:
+                    had.clear()
+                here = here[place[new]]
                 own, lower = (lists(*found, rows) for found in signatures(made, begin, bands, here))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, rows), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *own, *lower],
@@ -172,13 +181,20 @@ class Lists:
         edge = np.cumsum(take) - take
         return self.entries[np.repeat(self.head[tokens] - edge, take) + np.arange(int(take.sum()))]
 
-    def probed(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """How many of some lists each place is in, by binary search."""
+    def counted(self, tokens: np.ndarray, places: np.ndarray, x: int) -> np.ndarray:
+        """How many of some lists each place before x is in: by binary search, or, where that is less to
+        look at, by going through the lists."""
+        made = np.zeros(len(places), np.int64)
         if not len(tokens) or not len(places) or not len(self.keys):
-            return np.zeros(len(places), np.int64)
-        wanted = tokens[:, None] * np.int64(self.n) + places[None, :]
-        at = np.searchsorted(self.keys, wanted)
-        return (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted).sum(0)
+            return made
+        if int(self.before(tokens, x).sum()) + x < len(tokens) * len(places):
+            return np.bincount(self.merged(tokens, x), minlength=x)[places]
+        step = max(1, PROBES // len(tokens))
+        for at in range(0, len(places), step):
+            wanted = tokens[:, None] * np.int64(self.n) + places[None, at : at + step]
+            found = np.searchsorted(self.keys, wanted)
+            made[at : at + step] = (self.keys[np.minimum(found, len(self.keys) - 1)] == wanted).sum(0)
+        return made
 
 
 def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -221,12 +237,10 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             if at_side is not None:
                 other = at_side[found] != at_side[x]
                 found, seen = found[other], seen[other]
-            both = seen.copy()
-            lacked = lists.common[probe]
-            step = max(1, PROBES // max(1, len(probe)))
-            for at in range(0, len(found), step):
-                some = found[at : at + step]
-                both[at : at + step] += lists.probed(probe[~lacked], some) + int(lacked.sum()) - lists.probed(probe[lacked], some)
+            both = seen + lists.common[probe].sum()
+            for lacked in (False, True):
+                some = probe[lists.common[probe] == lacked]
+                both += (-1 if lacked else 1) * lists.counted(some, found, x)
             linked = found[100 * both >= percent * (size + sizes[found] - both)]
             if len(linked):
                 yield int(order[x]), order[linked]
