@@ -325,15 +325,38 @@ def _sort(length: int) -> Callable:
     return run
 
 
+def _hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _several(picked: DataFrame) -> DataFrame | None:
+    """(doc, least) of the ids that have more than one text: the least hash of a text. None if there are none."""
+    hashes = picked.where("doc IS NOT NULL").groupBy("doc").agg(F.min(_hash("text")).alias("least"), F.max(_hash("text")).alias("most"))
+    odd = staged(hashes.where("least <> most").select("doc", "least"), "odd")
+    return None if odd.isEmpty() else odd
+
+
+def _stands(text: str, least: F.Column) -> F.Column:
+    """Whether the text is that its id stands for; ``least`` is null for ids with one text."""
+    return least.isNull() | (_hash(text) == least)
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first, last): byte spans, which may touch and overlap, that together are all bytes covered by a
     string of ``length`` bytes that also starts earlier (in a smaller id, or earlier in the same text).
 
     Null text is empty. Texts without an id neither repeat nor are repeated. Rows that repeat an id
-    and its text are one text, and no repeat of themselves.
+    and its text are one text, and no repeat of themselves; of an id with several texts only the one of
+    least hash counts, the others neither repeat nor are repeated.
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    n = parallelism(docs.sparkSession)
+    return _spans(picked, _several(picked), length)
+
+
+def _spans(picked: DataFrame, odd: DataFrame | None, length: int) -> DataFrame:
+    if odd is not None:
+        picked = picked.join(odd, "doc", "left").where(_stands("text", F.col("least"))).drop("least")
+    n = parallelism(picked.sparkSession)
     phrases = picked.mapInArrow(lean(_parse(length, _large(picked, length))), PHRASES)
     dealt = phrases.repartition(n, "key").sortWithinPartitions("key", "name", "doc", "start")
     parse = staged(dealt.mapInArrow(lean(_compare), PHRASES), "parse")
@@ -359,9 +382,14 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, name: str) -> DataFrame:
-    spans = repeated_spans(docs, length, id_col, text_col)
-    by_doc = spans.groupBy(F.col("id").alias(id_col)).agg(F.collect_list(F.struct("first", "last")).alias(name))
-    return docs.join(by_doc, id_col, "left")
+    picked = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
+    odd = _several(picked)
+    by_doc = _spans(picked, odd, length).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    if odd is None:
+        return docs.join(by_doc.select(F.col("id").alias(id_col), F.col("spans").alias(name)), id_col, "left")
+    both = by_doc.join(odd.withColumnRenamed("doc", "id"), "id", "left")
+    held = docs.join(both.select(F.col("id").alias(id_col), F.struct("spans", "least").alias(name)), id_col, "left")
+    return held.withColumn(name, F.when(_stands(text_col, F.col(f"{name}.least")), F.col(f"{name}.spans")))
 
 
 def removed(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,3 +84,22 @@ def test_keys_with_many_phrases_are_split(docs_of, split, chunk, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
     mixed = tables["parse"].where(f"offset <> {repeats.REPEAT}").groupBy("key").count().agg({"count": "max"}).first()[0]
     assert (mixed or 0) <= split
+
+
+def test_an_id_with_several_texts(docs_of):
+    """One of the texts stands for the id; the others are left whole and cut nothing from other documents."""
+    long, other = "".join(f"passage {k} " for k in range(40)), "".join(f"another {k} " for k in range(40))
+    rows = [(1, long), (3, long[:300]), (3, ""), (3, other), (4, other), (5, None), (5, "")]
+    got = repeats.removed(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    by_text = {(r.doc_id, r.n_bytes): r for r in got}
+    stands = [n for n in (300, 0, len(other)) if by_text[3, n].n_removed or n == 0]
+    assert sum(by_text[3, n].n_removed > 0 for n in (300, 0, len(other))) <= 1 and by_text[3, 0].n_removed == 0
+    for n, text in ((300, long[:300]), (0, ""), (len(other), other)):
+        r = by_text[3, n]
+        kept = "" if r.n_removed else text
+        assert r.n_removed in (0, n) and r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+    assert stands and by_text[1, len(long)].n_removed == 0
+    docs = docs_of(rows)
+    texts = sorted((r.doc_id, r.text or "") for r in repeats.without_repeats(docs).collect())
+    assert [t for d, t in texts if d == 1] == [long] and len(texts) == len(rows)
