@@ -16,33 +16,47 @@ from kindred.llm.queries import tokenizer
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """The rows with the number of characters their text now has; null text keeps what it had."""
+    """The rows with the number of characters their text now has; null text keeps what it had, and so does
+    a table without that column."""
+    if "n_chars" not in docs.columns:
+        return docs
     kind = docs.schema["n_chars"].dataType
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the toxicity model rejects go."""
+    """Texts that the toxicity model rejects go.
+
+    Null and empty texts, and rows without an id, stay unless the model rejects the empty text; rows that
+    repeat go or stay together. No labels, or of one kind only: fixed weights. No rows give none."""
     return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that n-gram Jaccard links join (five words, 0.8), the smallest id stays."""
+    """Of each group of texts that n-gram Jaccard links join (five words, 0.8), the smallest id stays.
+
+    Rows that repeat an id stay or go together. Null, empty and blank texts link with nothing and stay, rows
+    without an id too. No rows give none."""
     return jaccard.without_copies(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that stand earlier in the corpus go from the text."""
+    """Passages of 100 bytes or more that stand earlier in the corpus go from the text.
+
+    Earlier is a smaller id, or an earlier place of the same text; characters go whole. Null text stays null;
+    rows that repeat are one text, and rows without an id are left as they are. No row goes."""
     return _counted(repeats.without_repeats(docs, length=100))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind. Null text stays null; no row goes."""
     return _counted(pii.masked(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts, packed into sequences of 2048 tokens."""
+    """Pieces of the texts, packed into sequences of 2048 tokens.
+
+    Null and empty texts are one token; every row is a document of its own. No rows give none."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), limit=2048)
 
 
