@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,39 @@ def test_model_follows_the_labels(spark, tmp_path):
     assert len(one.values) == len(one.edges) + 1
 
 
+def test_boosting_is_near_that_of_spark(spark):
+    """Trees grown leaf by leaf, all shrunk, and trees grown level by level, the first of them whole, end at the
+    same curve: no prediction is further off than 0.1."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.random(600))
+    label = np.sin(6 * x) + 0.1 * rng.normal(size=600)
+    weight = 1 + rng.random(600)
+    data = list(zip(x.tolist(), label.tolist(), weight.tolist()))
+    rows = spark.createDataFrame(data, "similarity double, label double, weight double").coalesce(2)
+    steps = rerank.train(rows, max_bins=60)
+    binned = rows.withColumn("bin", rerank.step_of(F.col("similarity"), steps.edges).cast("double"))
+    features = VectorAssembler(inputCols=["bin"], outputCol="features")
+    model = GBTRegressor(weightCol="weight", stepSize=0.05, maxIter=20, maxDepth=5, maxBins=64).fit(features.transform(binned))
+    both = model.transform(features.transform(binned)).withColumn("own", steps.predict(F.col("similarity"))).toPandas()
+    assert np.abs(both.prediction - both.own).max() < 0.1 and np.abs(both.prediction - both.own).mean() < 0.03
+    error = lambda p: float((weight * (p - label) ** 2).sum() / weight.sum())
+    ordered = both.sort_values("similarity")
+    assert error(ordered.own.to_numpy()) < 1.1 * error(ordered.prediction.to_numpy())
+
+
+def test_trees_grow_leaf_by_leaf():
+    weight, many = np.ones(8), np.full(8, 5.0)
+    total = np.array([0, 0, 0, 0, 1, 1, 9, 9.0])
+    two = rerank.boosted(weight, total, many, 1, 2, 1.0, 5)  # one split: before the nines
+    assert np.allclose(two, [1 / 3] * 6 + [9] * 2)
+    assert np.allclose(rerank.boosted(weight, total, many, 1, 3, 1.0, 5), total)
+    assert np.allclose(rerank.boosted(weight, total, many, 1, 8, 1.0, 21), [2.5] * 8)  # leaves would be too small
+    assert np.allclose(rerank.boosted(weight, total, many, 60, 31, 0.5, 5), total, atol=1e-5)
+
+
 def test_reports(spark, books):
     feedback = spark.createDataFrame([(1, 1, 2, 0.5, at(0)), (2, 1, 4, 1.0, at(0))], FEEDBACK)
     rows = {r.similar_book_id: r for r in reports.score_report(feedback, edges_df(spark, [(1, 2, 0.9)]), vectors(spark)).collect()}
