@@ -17,23 +17,24 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
-def python_sample(paragraphs, n=5):
-    if not paragraphs:
-        return []
-    middle = []
-    if len(paragraphs) > 2 * n:
-        at = max(n, len(paragraphs) // 2 - n // 2)
-        middle = paragraphs[at : at + n]
-    return paragraphs[:n] + middle + paragraphs[-n:]
-
-
-@pytest.mark.parametrize("per_part", [1, 2, 5])
-@pytest.mark.parametrize("n", [0, 1, 4, 5, 9, 10, 11, 12, 13, 30])
+#: Paragraphs of a text of so many, by how many are taken from each part.
+SAMPLED = {
+    (0, 5): [], (1, 5): [0, 0], (4, 5): [0, 1, 2, 3, 0, 1, 2, 3], (5, 5): [0, 1, 2, 3, 4, 0, 1, 2, 3, 4],
+    (9, 5): [0, 1, 2, 3, 4, 4, 5, 6, 7, 8], (10, 5): [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    (11, 5): [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 6, 7, 8, 9, 10], (12, 5): [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 7, 8, 9, 10, 11],
+    (13, 5): [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 8, 9, 10, 11, 12],
+    (30, 5): [0, 1, 2, 3, 4, 13, 14, 15, 16, 17, 25, 26, 27, 28, 29],
+    (0, 2): [], (1, 2): [0, 0], (4, 2): [0, 1, 2, 3], (5, 2): [0, 1, 2, 3, 3, 4], (9, 2): [0, 1, 3, 4, 7, 8],
+    (10, 2): [0, 1, 4, 5, 8, 9], (30, 2): [0, 1, 14, 15, 28, 29],
+    (1, 1): [0, 0], (4, 1): [0, 2, 3], (9, 1): [0, 4, 8], (30, 1): [0, 15, 29],
+}
+
+
+@pytest.mark.parametrize(("n", "per_part"), SAMPLED)
 def test_sample_paragraphs(spark, n, per_part):
-    paragraphs = [f"p{i}" for i in range(n)]
-    df = spark.createDataFrame([(1, "\n".join(f" {p}\t" for p in paragraphs))], "id int, text string")
+    df = spark.createDataFrame([(1, "\n".join(f" p{i}\t" for i in range(n)))], "id int, text string")
     row = sample_plain(df, per_part=per_part).first()
-    assert row.sample == "\n\n".join(python_sample(paragraphs, per_part))
+    assert row.sample == "\n\n".join(f"p{i}" for i in SAMPLED[n, per_part])
     assert row.n_paragraphs == n
 
 
