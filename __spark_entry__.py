@@ -33,11 +33,12 @@ from kindred.operators.similarity import (  # noqa: E402
     library_items,
     top_k_overfetched,
 )
-from kindred.plans import stand_ins  # noqa: E402
+from kindred.plans import learn, stand_ins  # noqa: E402
 from kindred.plans.similar import ANN, EXACT, bulk_edges, search, similar_books  # noqa: E402
 from kindred.schemas import AUTHORS, BOOK_AUTHORS, EMBEDDINGS, FEEDBACK, FEEDBACK_JSON, SIMILAR  # noqa: E402
 from kindred.session import ship, stage, work_path  # noqa: E402
 from kindred.sources import feedback_json, tables  # noqa: E402
+from kindred.sources.archive_format import archives_under  # noqa: E402
 from kindred.sources.archives import list_members  # noqa: E402
 from kindred.sources.catalogue import (  # noqa: E402
     catalogue_books,
@@ -48,6 +49,7 @@ from kindred.sources.catalogue import (  # noqa: E402
 from kindred.sources.store import Store, Table  # noqa: E402
 from kindred.streaming import feedback as feedback_stream  # noqa: E402
 from kindred.streaming import ingest as ingest_stream  # noqa: E402
+from kindred.streaming import ratings as rating_stream  # noqa: E402
 
 try:  # the operators for training text can be left out
     import corpus_pipeline
@@ -207,13 +209,30 @@ def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("error IS NULL").select("member", "size")
 
 
+def archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of archives and their bytes, read as a format of Spark."""
+    found = archives_under(spark, _archives(spark, sf))
+    return found.where("error IS NULL").select("member", "size", F.md5("content").alias("digest"))
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Archives through the ingestion stream into the library tables, joined for comparison."""
     folder = _archives(spark, sf)
+    return _ingested(spark, ingest_stream.archive_stream(spark, folder), ingest_stream.books_of_archives, folder)
+
+
+def stream_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the archives as a stream of their members."""
+    folder = _archives(spark, sf)
+    members = ingest_stream.member_stream(spark, folder, work_path(spark, "arrivals"))
+    return _ingested(spark, members, ingest_stream.books_of_members, folder)
+
+
+def _ingested(spark: SparkSession, stream: DataFrame, to_books: Callable, folder: str) -> DataFrame:
     store = ingest_stream.LibraryStore(spark, work_path(spark, "library"))
     ingest_stream.start(
-        ingest_stream.archive_stream(spark, folder),
-        ingest_stream.books_of_archives,
+        stream,
+        to_books,
         folder,
         store,
         lambda texts: encode_by_words(texts, weigh=False),
@@ -646,8 +665,26 @@ def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
     return store.similar()
 
 
+def stream_state_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """The ratings after the same stream through a state for each pair."""
+    return _state(spark, sf).feedback().select("source_book_id", "candidate_book_id", "label")
+
+
+def stream_state_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges after that stream; nothing is left to fold."""
+    return _state(spark, sf).similar()
+
+
 def _stream(spark: SparkSession, sf: str) -> feedback_stream.FeedbackStore:
-    store = feedback_stream.FeedbackStore(spark, work_path(spark, "feedback"))
+    return _fed(spark, sf, feedback_stream, feedback_stream.FeedbackStore)
+
+
+def _state(spark: SparkSession, sf: str) -> rating_stream.RatingStore:
+    return _fed(spark, sf, rating_stream, rating_stream.RatingStore)
+
+
+def _fed(spark: SparkSession, sf: str, stream, make: Callable):
+    store = make(spark, work_path(spark, "feedback"))
     store.replace_similar(stand_ins.edges(spark, sf))
     events = stand_ins.table(spark, sf, "events")
     arriving = (
@@ -655,7 +692,7 @@ def _stream(spark: SparkSession, sf: str) -> feedback_stream.FeedbackStore:
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf)
     )
-    feedback_stream.start(
+    stream.start(
         stand_ins.from_events(arriving),
         lambda: stand_ins.books(spark, sf),
         store,
@@ -704,9 +741,53 @@ def judged_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source_book_id", "candidate_book_id", F.round("label", 6).alias("label"))
 
 
+def feedback_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored ratings after a judge labelled the best edges: its labels take the place of older ratings."""
+    store = learn.ratings(spark, work_path(spark, "ratings"))
+    store.commit(replaced={"feedback": _feedback(spark, sf)})
+    learn.judge_edges(
+        store,
+        stand_ins.edges(spark, sf),
+        stand_ins.books(spark, sf),
+        lambda prompts: [str(min(100, len(p) - 250)) for p in prompts],
+        K,
+    )
+    rows = store.read("feedback")
+    return rows.select("source_book_id", "candidate_book_id", F.round("label", 6).alias("label"))
+
+
 # ------------------------------------------------------------------------ learning
 
 
+def _exported(spark: SparkSession, feedback: DataFrame) -> str:
+    path = work_path(spark, "exchange")
+    feedback_json.feedback_entries(feedback).write.text(path)
+    return path
+
+
+def feedback_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored ratings after a document of half of them took the place of one of all, and a missing one of none."""
+    store, all_ = learn.ratings(spark, work_path(spark, "ratings")), _feedback(spark, sf)
+    learn.sync(store, _exported(spark, all_))
+    learn.sync(store, _exported(spark, all_.where("source_book_id % 2 = 0")))
+    learn.sync(store, work_path(spark, "missing"))
+    return store.read("feedback").select("source_book_id", "candidate_book_id", "label")
+
+
+def learning_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings taken over from documents, the model trained and saved; scores of the rated pairs."""
+    done = learn.learn(
+        learn.ratings(spark, work_path(spark, "ratings")),
+        _exported(spark, _feedback(spark, sf)),
+        stand_ins.vectors(spark, sf),
+        stand_ins.edges(spark, sf),
+        work_path(spark, "model"),
+        _texts(spark, sf),
+        work_path(spark, "pairs"),
+    )
+    return done.report.withColumn("score_now", F.round("score_now", 6))
+
+
 def train_set_rerank(spark: SparkSession, sf: str) -> DataFrame:
     rows = rerank.training_set(_feedback(spark, sf), stand_ins.vectors(spark, sf))
     return rows.withColumn("similarity", F.round("similarity", 9))
@@ -753,7 +834,7 @@ def embed_words(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = [
     catalogue_parse, incremental_new_books, author_dim, author_bridge, book_upsert,
     books_of_rated, one_book_per_file, books_with_vectors, vector_count,
-    paragraph_sample, fb2_extract, page_extract, archive_listing, stream_ingest,
+    paragraph_sample, fb2_extract, page_extract, archive_listing, archive_members, stream_ingest, stream_members,
     vector_norm, blob_round_trip, blob_components, unit_blobs, cosine_pairs,
     topk_exact_raw, topk_dedup, topk_first_title, topk_other_authors, topk_overfetch,
     topk_cell_bounds, cell_visits,
@@ -766,7 +847,8 @@ QUERIES = [
     books_with_edges, file_names, named_books,
     edges_after_dislikes, edges_not_disliked, rating_attach, boosted_score,
     feedback_current, feedback_ids, feedback_mean, feedback_exchange, unresolved_commands,
-    stream_feedback, stream_edges, star_map, judge_labels, judge_prompts, judged_edges,
+    stream_feedback, stream_edges, stream_state_feedback, stream_state_edges,
+    star_map, judge_labels, judge_prompts, judged_edges, feedback_judged, feedback_replaced, learning_job,
     train_set_rerank, train_pairs, edge_score_report, rerank_exact, rerank_ann, embed_words,
 ]
 

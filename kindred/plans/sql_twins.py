@@ -239,10 +239,17 @@ TWINS = {
     "archive_listing": _using(
         "markup", "SELECT 'd' || doc_id || '.fb2' AS member, strlen(content) AS size FROM markup"
     ),
+    "archive_members": _using(
+        "markup", "SELECT 'd' || doc_id || '.fb2' AS member, strlen(content) AS size, md5(content) AS digest FROM markup"
+    ),
     "stream_ingest": """
         SELECT 'd' || doc_id || '.fb2' AS book, 'd' || doc_id AS uid, 'Document ' || doc_id AS title,
                lang || ' ' || source AS author, lang || ' ' || source AS name, 256 AS dimensions
         FROM documents""",
+    "stream_members": """
+        SELECT 'd' || doc_id || '.fb2' AS book, 'd' || doc_id AS uid, 'Document ' || doc_id AS title,
+               lang || ' ' || source AS author, lang || ' ' || source AS name, 256 AS dimensions
+        FROM documents""",
     "vector_norm": _using(
         "vectors",
         """
@@ -456,6 +463,20 @@ TWINS = {
     ),
     "stream_feedback": _using("feedback", _RATINGS),
     "stream_edges": _using("edges commands", _AFTER_DISLIKES),
+    "stream_state_feedback": _using("feedback", _RATINGS),
+    "stream_state_edges": _using("edges commands", _AFTER_DISLIKES),
+    "feedback_replaced": _using("feedback", f"{_RATINGS} WHERE source_book_id % 2 = 0"),
+    "feedback_judged": _using(
+        "top_edges books feedback",
+        f"""
+        SELECT source_book_id, candidate_book_id,
+               round(least(100, length(prompt) - 250) / 100.0, 6) AS label
+        FROM ({_JUDGED})
+        UNION ALL
+        SELECT source_book_id, candidate_book_id, round(label, 6) AS label FROM feedback f
+        WHERE NOT EXISTS (SELECT 1 FROM ({_JUDGED}) j WHERE j.source_book_id = f.source_book_id
+                          AND j.candidate_book_id = f.candidate_book_id)""",
+    ),
     "star_map": """
         SELECT l_orderkey, l_linenumber, round(l_linenumber * 0.2, 6) AS label,
                CAST(floor(l_discount * 10 / 0.2 + 0.5) AS INTEGER) AS stars
@@ -505,3 +526,4 @@ TWINS = {
     ),
 }
 TWINS["edge_replace_stored"] = TWINS["edge_replace"]
+TWINS["learning_job"] = TWINS["edge_score_report"]

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,13 +112,29 @@ def _by_member(members: DataFrame) -> DataFrame:
     return members.repartitionByRange(n, "path", "member").sortWithinPartitions("path", "member")
 
 
+class _Handle:
+    """A file whose impossible positions are OSErrors: zipfile tries them on archives with nothing in them."""
+
+    def __init__(self, raw):
+        self.raw = raw
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            return self.raw.seek(at, whence)
+        except pa.ArrowInvalid as failure:
+            raise OSError(str(failure)) from failure
+
+    def __getattr__(self, name: str):
+        return getattr(self.raw, name)
+
+
 @contextmanager
-def _open(path: str) -> Iterator[zipfile.ZipFile]:
+def open_archive(path: str) -> Iterator[zipfile.ZipFile]:
     """Archive by local path or URI (any filesystem pyarrow reads), on the executor."""
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    with store.open_input_file(inner) as raw, zipfile.ZipFile(raw) as archive:
+    with store.open_input_file(inner) as raw, zipfile.ZipFile(_Handle(raw)) as archive:
         yield archive
 
 
@@ -127,7 +144,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             name = path.rsplit("/", 1)[-1]
             try:
-                with _open(path) as archive:
+                with open_archive(path) as archive:
                     found = [i for i in archive.infolist() if not i.is_dir()]
                 rows = [(path, name, i.filename, i.file_size, None) for i in found]
             except Exception as error:  # a broken archive is a rejected row
@@ -147,7 +164,7 @@ def _archives(batches: Iterator[pd.DataFrame]):
                         handle.__exit__(None, None, None)
                     path, archive, error = row.path, None, None
                     try:
-                        handle = _open(path)
+                        handle = open_archive(path)
                         archive = handle.__enter__()
                     except Exception as failure:
                         archive, error = None, repr(failure)

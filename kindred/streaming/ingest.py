@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from kindred import schemas
 from kindred.plans.ingest import Library, changes, read_books, with_ids
 from kindred.session import query_id, stage, union
+from kindred.sources.archive_format import archive_arrivals
 from kindred.sources.archives import ZIP_GLOB, members_of
 from kindred.sources.catalogue import (
     LANGUAGE,
@@ -94,6 +95,11 @@ def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
     return reader.option("pathGlobFilter", ZIP_GLOB).load(folder).select("path")
 
 
+def member_stream(spark: SparkSession, folder: str, log: str) -> DataFrame:
+    """Members of archives as the archives arrive in a folder, listed by the tasks of the stream itself."""
+    return archive_arrivals(spark, folder, log)
+
+
 def line_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of unpacked catalogue members as they arrive in a folder."""
     return spark.readStream.text(folder).select(
@@ -106,7 +112,12 @@ Found = tuple[DataFrame, DataFrame | None]
 
 def books_of_archives(paths: DataFrame) -> Found:
     """Books in the archives, and the archives that cannot be listed."""
-    members = stage(members_of(paths), "listed")
+    return books_of_members(members_of(paths))
+
+
+def books_of_members(members: DataFrame) -> Found:
+    """Listed members as books, and the archives that cannot be listed."""
+    members = stage(members, "listed")
     broken = members.where("error IS NOT NULL")
     return listed_books(members), broken.select("archive", F.col("member").alias("book"), "error")
 
@@ -124,7 +135,7 @@ def start(
     checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Add the books of a stream (``archive_stream`` or ``line_stream``) to the library."""
+    """Add the books of a stream (``archive_stream``, ``member_stream`` or ``line_stream``) to the library."""
 
     def take(batch: DataFrame, number: int) -> None:
         found, unlisted = to_books(batch)
