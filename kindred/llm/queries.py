@@ -39,7 +39,8 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return licences.licensed(docs, licences.train(docs))
+    found = licences.runs(docs)
+    return licences.licensed(docs, licences.train(docs, found=found), found=found)
 
 
 def op6_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -144,6 +144,35 @@ def test_licences(docs_of):
     assert licences.licensed(empty, licences.train(empty)).count() == 0
 
 
+def test_wrapped_notices_count_once(docs_of):
+    pick = random.Random(13)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(12)) + "."
+    bsd, mpl = licences.NOTICES["bsd"][0], licences.NOTICES["mpl"][0]
+
+    def wrapped(text, n, mark=""):
+        own = text.split()
+        return "\n".join(mark + " ".join(own[i : i + n]) for i in range(0, len(own), n))
+
+    texts = {0: wrapped(bsd, 7), 1: wrapped(bsd, 2), 2: wrapped(bsd, 1), 3: wrapped(bsd, 3, "    // "), 4: wrapped(bsd, 4) + "\n" + wrapped(mpl, 3)}
+    texts |= {5: wrapped(bsd, 5) + "\n\n" + wrapped(bsd, 6), 6: prose() + "\n" + wrapped(mpl, 1) + "\n" + mpl}
+    rows = [(i, "\n".join([prose(), texts.get(i, prose()), prose()])) for i in range(150)]
+    docs = docs_of(rows)
+    got = {r.doc_id: r for r in licences.licensed(docs, licences.train(docs)).collect()}
+    assert [got[i].families for i in range(7)] == ["bsd"] * 4 + ["bsd,mpl", "bsd", "mpl"]
+    assert [(got[i].n_licence, got[i].n_confirmed) for i in range(4)] == [(1, 1)] * 4
+    assert (got[4].n_confirmed, got[5].n_confirmed) == (2, 2)
+    assert all(got[i].n_licence == 0 for i in range(7, 150))
+
+
+def test_runs_of_lines(docs_of):
+    texts = {1: "MIT\nand use\n\nof the\nlicense", 2: "of the\nand", 3: "xyzzy\nlicense xyzzy\nwith xyzzy", 4: "", 5: None, 6: "license\n" * 3}
+    rows = licences.runs(docs_of(list(texts.items()))).collect()
+    got = sorted((r.id, [(x.position, x.cue) for x in r.lines]) for r in rows)
+    assert got == [(1, [(0, True), (1, False)]), (1, [(3, False), (4, True)]), (3, [(1, True)]), (6, [(0, True), (1, True), (2, True)])]
+    assert got[0][1][0][0] == 0 and {r.lines[0].paragraph for r in rows} == {"MIT", "of the", "license xyzzy", "license"}
+
+
 def test_licences_without_a_cue_and_over_lines(docs_of):
     pick = random.Random(12)
     word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 8)))
