@@ -1,9 +1,9 @@
 """Exact top-k similarity: every source against every candidate.
 
-Three steps, all on Spark: lay sources and candidates out as bounded tiles, score each tile
-into short lists (``kernel``), merge the short lists of a source into its final list. A pair
-that cannot be in its tile's short list cannot be in the final list, so only short lists
-are ever shuffled; all-pairs output never exists.
+Sources are dealt to blocks, one a task, and all candidates go by each block in pieces, which leaves
+whole lists (``blocks``). Only vectors are shuffled, once a block; neither short lists nor all pairs are.
+Where the lowest id stands for a title, sources and candidates are laid out as bounded tiles
+instead, scored into short lists (``kernel``) that are merged.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 
 from kindred.functions.text import author_list
 from kindred.operators import kernel
+from kindred.operators.blocks import BLOCK_SOURCES, block_count, dealt, listed
 from kindred.operators.kernel import Rules
 from kindred.session import parallelism, union
 
@@ -65,13 +66,13 @@ def exact_top_k(
     rules: Rules = Rules(),
     n_sources: int | None = None,
     n_candidates: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_SOURCES,
     few: bool = False,
 ) -> DataFrame:
     """Best ``limit`` candidates of every source: ``book_id, similar_book_id, score, rank``.
 
     Both inputs are ``library_items``. Row counts may be given when they are known;
-    otherwise they are counted, since they decide the tiling. ``few`` is for a query about some
+    otherwise they are counted, since they decide the blocks. ``few`` is for a query about some
     books: the sources, at most ``FEW_SOURCES`` of them, go to the candidates, of which then
     none is shuffled.
     """
@@ -88,19 +89,18 @@ def exact_top_k(
         lists = cand.mapInArrow(against(few_rows(src), limit, rules), kernel.RESULT_DDL)
         return merge_lists(lists, limit, rules)
 
+    n_src = sources.count() if n_sources is None else n_sources
+    if rules.dedup != "first":
+        lists = whole_lists(src, cand, same, n_src, limit, rules, block_rows)
+        return lists if rules.flag_only else lists.select(LIST_COLUMNS)
     n_cand = candidates.count() if n_candidates is None else n_candidates
-    n_src = (n_cand if same else sources.count()) if n_sources is None else n_sources
-    rows, cols = block_counts(n_src, n_cand, block_rows, 2 * parallelism(spark))
+    rows, cols = block_counts(n_src, n_cand, min(block_rows, BLOCK_ROWS), 2 * parallelism(spark))
     # All rows of a title must meet in one tile when the lowest id stands for it.
-    spread = F.coalesce(F.hex("key"), F.lit("")) if rules.dedup == "first" else F.col("id")
-    if same:
-        tiles = self_tiles(cand, rows, cols)
-    else:
-        src = src.withColumn("row", _block("id", rows))
-        src = src.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-        cand = cand.withColumn("col", _block(spread, cols))
-        cand = cand.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-        tiles = union(src, cand)
+    src = src.withColumn("row", _block("id", rows))
+    src = src.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    cand = cand.withColumn("col", _block(F.coalesce(F.hex("key"), F.lit("")), cols))
+    cand = cand.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    tiles = union(src, cand)
     tiles = tiles.withColumn("tile", (F.col("row") * cols + F.col("col")).cast("int")).drop(
         "row", "col"
     )
@@ -109,22 +109,35 @@ def exact_top_k(
     return merge_lists(score_tiles(tiles, ["tile"], limit, rules), limit, rules)
 
 
-def self_tiles(items: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Every item as a source and as a candidate, in one pass over the items."""
+def whole_lists(
+    src: DataFrame,
+    cand: DataFrame,
+    same: bool,
+    n_src: int,
+    limit: int,
+    rules: Rules,
+    block_rows: int = BLOCK_SOURCES,
+    final: int | None = None,
+) -> DataFrame:
+    """Lists of all sources against all candidates (``tile_rows``), block by block; ``final`` as in ``listed``."""
+    count = block_count(n_src, limit, cand.sparkSession.sparkContext.defaultParallelism, block_rows)
+    if same:
+        rows = self_blocks(cand, count)
+    else:
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        rows = union(src.withColumn("block", _block("id", count)), cand.withColumn("block", everywhere))
+    return listed(dealt(rows, count, MAX_TASKS), limit, rules, final)
 
-    def place(is_source: bool, row: Column, col: Column) -> Column:
-        return F.struct(F.lit(is_source).alias("is_source"), row.alias("row"), col.alias("col"))
 
-    placed = items.drop("is_source").withColumns(
-        {"_row": _block("id", rows), "_col": _block("id", cols)}
-    )
-    as_source = F.transform(
-        F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: place(True, F.col("_row"), c)
-    )
-    as_candidate = F.transform(
-        F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: place(False, r, F.col("_col"))
-    )
-    return placed.select("*", F.inline(F.concat(as_source, as_candidate))).drop("_row", "_col")
+def self_blocks(items: DataFrame, count: int) -> DataFrame:
+    """Every item as a source of its block and as a candidate of every block, in one pass over the items."""
+
+    def place(is_source: bool, block: Column) -> Column:
+        return F.struct(F.lit(is_source).alias("is_source"), block.alias("block"))
+
+    as_candidate = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: place(False, b))
+    both = F.concat(F.array(place(True, _block("id", count))), as_candidate)
+    return items.drop("is_source").select("*", F.inline(both))
 
 
 def _block(of: Column | str, blocks: int) -> Column:
@@ -158,11 +171,20 @@ def neighbour_pool(
     return best_per_key(pool) if rules.dedup == "best" else pool
 
 
-def top_k_overfetched(sources: DataFrame, candidates: DataFrame, limit: int, *args, **options):
-    """``neighbour_pool`` cut to the best ``limit``."""
-    return cut(neighbour_pool(sources, candidates, limit, *args, **options), limit).select(
-        LIST_COLUMNS
-    )
+def top_k_overfetched(
+    sources: DataFrame, candidates: DataFrame, limit: int, rules: Rules = Rules(), n_candidates: int | None = None
+) -> DataFrame:
+    """``neighbour_pool`` of the exact search cut to the best ``limit``, in the task that finds it: pools are not shuffled."""
+    check_limit(limit)
+    if rules.dedup == "first":
+        raise ValueError('the "first" rule needs all titles of a block together')
+    same = sources is candidates
+    n = candidates.count() if n_candidates is None else n_candidates
+    n_src = n if same else sources.count()
+    flagged = replace(rules, flag_only=True)
+    src, cand = tile_rows(sources, flagged, True), tile_rows(candidates, flagged, False)
+    pool = max(1, overfetch(limit, n))
+    return whole_lists(src, cand, same, n_src, pool, flagged, final=limit).select(LIST_COLUMNS)
 
 
 def check_limit(limit: int) -> None:

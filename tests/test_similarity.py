@@ -3,7 +3,7 @@ import pytest
 from brute import top_k
 from pyspark.sql import functions as F
 
-from kindred.operators import kernel
+from kindred.operators import blocks, kernel
 from kindred.operators.cells import CellIndex, cell_top_k
 from kindred.operators.kernel import Rules
 from kindred.operators.rerank import Steps, exact_top_k_rescored, rescore
@@ -265,3 +265,20 @@ def test_search_modes(items, df, index):
 def test_pool_keeps_more_than_the_limit(df, index):
     pool = neighbour_pool(df, df, 3)
     assert pool.groupBy("book_id").count().agg(F.max("count")).first()[0] > 3
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_no_lists_are_shuffled(df):
+    """Only vectors move: neither pools nor lists go through a window or another shuffle."""
+    for found in (top_k_overfetched(df, df, 10), exact_top_k(df, df, 10), exact_top_k(df, df, 10, Rules(same_title=False, dedup="none"))):
+        plan = shuffles(found)
+        assert "Window" not in plan and "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_blocks_are_bounded_by_the_places_of_their_lists():
+    assert blocks.block_count(1_000_000, 400, 12) >= 1_000_000 * 400 / blocks.BLOCK_PLACES
+    assert blocks.block_count(1_000_000, 10, 12) == 1_000_000 / blocks.BLOCK_SOURCES
+    assert blocks.block_count(100_000, 10, 12) == 12 and blocks.block_count(10, 10, 12) == 1
