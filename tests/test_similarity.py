@@ -13,6 +13,7 @@ from kindred.operators.similarity import (
     library_items,
     neighbour_pool,
     overfetch,
+    self_blocks,
     top_k_overfetched,
 )
 from kindred.plans.similar import search
@@ -282,3 +283,12 @@ def test_blocks_are_bounded_by_the_places_of_their_lists():
     assert blocks.block_count(1_000_000, 400, 12) >= 1_000_000 * 400 / blocks.BLOCK_PLACES
     assert blocks.block_count(1_000_000, 10, 12) == 1_000_000 / blocks.BLOCK_SOURCES
     assert blocks.block_count(100_000, 10, 12) == 12 and blocks.block_count(10, 10, 12) == 1
+
+
+def test_self_search_moves_each_vector_once_a_block(spark, df, monkeypatch):
+    """As many copies of a vector as there are blocks, and one more; a grid had one a row and one a column."""
+    monkeypatch.setattr(blocks, "MIN_SOURCES", 20)
+    held = df.select("id", "vec").withColumn("key", F.lit(None).cast("binary"))
+    assert self_blocks(held, 9).count() == 10 * held.count()
+    asked = exact_top_k(df, df, 3, Rules(same_title=False, dedup="none"))
+    assert asked.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
