@@ -292,3 +292,22 @@ def test_self_search_moves_each_vector_once_a_block(spark, df, monkeypatch):
     assert self_blocks(held, 9).count() == 10 * held.count()
     asked = exact_top_k(df, df, 3, Rules(same_title=False, dedup="none"))
     assert asked.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_found_pairs_of_a_task_are_bounded(items, monkeypatch):
+    """While lists are short every pair is a found pair: few of them are held before they are merged."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "SCORES", 800)
+    monkeypatch.setattr(blocks, "WAITING", 50)
+    held = []
+    merge = blocks.Lists._merge
+    monkeypatch.setattr(blocks.Lists, "_merge", lambda self: (held.append(self.waiting), merge(self)))
+    some = [dict(id=i["id"], vec=i["vec"], key=None) for i in items]
+    table = pa.Table.from_pylist(some, pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("key", pa.binary())]))
+    lists = blocks.Lists(table.slice(0, 40), 3, Rules(same_file=False, same_title=False, dedup="none"))
+    lists.look(table)
+    rows = pa.Table.from_batches(lists.rows(None))
+    wanted = top_k(items, 3, same_file=False, same_title=False, dedup="none", sources=set(range(40)))
+    assert {(r["book_id"], r["similar_book_id"]): (r["score"], r["rank"]) for r in rows.to_pylist()} == wanted
+    assert max(held) <= 50 + max(240, 800 // 8)
