@@ -7,12 +7,11 @@ micro-batch is one commit over ratings, edges and rejected commands; its replay
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators.edges import PAIR
 from kindred.operators.feedback import FEEDBACK_PAIR, resolve, stored
@@ -22,6 +21,7 @@ from kindred.sources.store import Store, Table
 from kindred.streaming.feedback import LOG
 
 NAMES = ["source_file_name", "candidate_file_name"]
+# What ``changes`` gives.
 KEPT = "at long, command_id long, label double"
 CHANGE = f"source_file_name string, candidate_file_name string, {KEPT}, disliked boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,57 +83,26 @@ class RatingStore:
             self.store.compact(name)
 
 
-class Newest(StatefulProcessor):
-    """Keeps the newest command of a pair and tells of changes, and of any dislike."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", KEPT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.last.get()) if self.last.exists() else None
-        best, disliked = held, False
-        for batch in rows:
-            disliked |= bool(batch["disliked"].any())
-            for row in zip(batch["at"], batch["command_id"], batch["label"]):
-                row = (int(row[0]), int(row[1]), None if pd.isna(row[2]) else float(row[2]))
-                if best is None or _order(row) > _order(best):
-                    best = row
-        if best != held:
-            self.last.update(best)
-            yield pd.DataFrame([(*key, *best, disliked)], columns=_COLUMNS)
-        elif disliked:
-            yield pd.DataFrame([(*key, None, None, None, True)], columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-_COLUMNS = [*NAMES, "at", "command_id", "label", "disliked"]
-
-
-def _order(row: tuple) -> tuple:
-    return row[0], row[1], float("-inf") if row[2] is None else row[2]
-
-
-def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The newest command of each pair in a piece, so that a hot pair arrives as few rows."""
-    for batch in batches:
-        batch = batch.sort_values(["at", "command_id", "label"], na_position="first")
-        any_ = batch.groupby(NAMES, dropna=False)["disliked"].transform("any")
-        yield batch.assign(disliked=any_).drop_duplicates(NAMES, keep="last")
-
-
 def changes(commands: DataFrame) -> DataFrame:
-    """A stream of commands -> what they change, by pair. A command without a time has that of its arrival."""
+    """A stream of commands -> what they change, by pair. A command without a time has that of its arrival.
+
+    The state of a pair is an aggregate: its newest command, and when it and the last dislike arrived. What arrived
+    with this micro-batch is told by the batch's own time, which its replay has too."""
+    arrival = F.unix_micros(F.current_timestamp())
     placed = commands.select(
         *NAMES,
         F.unix_micros(F.coalesce("created_at", F.current_timestamp())).alias("at"),
         F.coalesce("command_id", F.lit(NO_NUMBER)).alias("command_id"),
-        "label",
-        F.coalesce(F.col("label") < 0, F.lit(False)).alias("disliked"),
+        F.when(~F.isnan("label"), F.col("label")).alias("label"),
+        arrival.alias("arrival"),
     )
-    folded = placed.mapInPandas(_folded, placed.schema)
-    return folded.groupBy(*NAMES).transformWithStateInPandas(Newest(), CHANGE, "Update", "None")
+    # Of equal commands the first to arrive stays, so that a repeated one is no change.
+    last = F.max(F.struct("at", "command_id", "label", (-F.col("arrival")).alias("before")))
+    held = placed.groupBy(*NAMES).agg(last.alias("last"), F.max(F.when(F.col("label") < 0, F.col("arrival"))).alias("dislike"))
+    now = F.unix_micros(F.current_timestamp())
+    told = held.withColumns({"new": F.col("last.before") == -now, "disliked": F.coalesce(F.col("dislike") == now, F.lit(False))})
+    kept = [F.when(F.col("new"), F.col(f"last.{c}")).alias(c) for c in ("at", "command_id", "label")]
+    return told.where("new OR disliked").select(*NAMES, *kept, "disliked")
 
 
 def start(
@@ -145,7 +114,7 @@ def start(
 ) -> StreamingQuery:
     """Feed a stream of commands (``COMMANDS``) through the state into the store.
 
-    ``books`` is asked anew for every batch. State in keys of its own needs RocksDB, which the session is set to."""
+    ``books`` is asked anew for every batch. The state lies in RocksDB, to which the session is set: it need not fit memory."""
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def take(batch: DataFrame, number: int) -> None:

@@ -130,3 +130,23 @@ def test_judge_labels_become_ratings(spark, tmp_path):
     assert len({r.id for r in rows}) == 2 and store.state().version == 2
 
 
+
+
+def test_the_state_of_a_pair_is_kept_without_python_and_tells_only_changes(spark, tmp_path):
+    source, told = str(tmp_path / "in"), []
+
+    def feed(*rows):
+        made = [(f"{a}.fb2", f"{b}.fb2", label, at(t), n) for a, b, label, t, n in rows]
+        spark.createDataFrame(made, COMMANDS).write.mode("append").parquet(source)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ratings.ROCKS)
+        changes = ratings.changes(spark.readStream.schema(COMMANDS).parquet(source))
+        # A call of Python for every pair takes too long where there are millions of them.
+        assert "Pandas" not in changes._jdf.queryExecution().analyzed().toString()
+        take = lambda rows, _: told.append({(r.source_file_name[0], r.candidate_file_name[0], r.label, r.command_id, r.disliked) for r in rows.collect()})
+        writer = changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "c"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return set().union(*told[-1:])
+
+    assert feed((1, 2, 0.4, 1, 1), (1, 2, -1.0, 0, 0), (1, 3, float("nan"), 1, 2)) == {("1", "2", 0.4, 1, True), ("1", "3", None, 2, False)}
+    assert feed((1, 2, 0.4, 1, 1), (1, 3, 0.2, 1, 1)) == set()  # given before; older
+    assert feed((1, 2, -1.0, 0, 0), (1, 3, 0.2, 1, 2)) == {("1", "2", None, None, True), ("1", "3", 0.2, 2, False)}
