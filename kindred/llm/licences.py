@@ -1,10 +1,10 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line, or a notice that is wrapped over lines that follow each other. Its features are the word n-grams (one to three words), hashed; a sparse
-multinomial logistic regression names the family. It is trained on notices of each family, whole and with
-words missing, and on paragraphs of the corpus as the class ``unknown``, with and without the words
-that licences are known by. The probability that a family needs is calibrated on examples that
-were held out, so that hardly any unknown paragraph reaches it. A prediction counts as confirmed if
+A paragraph is a line, or a notice that is wrapped over lines that follow each other. Its features are the word n-grams (one to three words)
+that notices have and that hold a cue, and how many other words there are, hashed; a sparse multinomial logistic regression names the family. It is trained on notices of each
+family, whole and with words missing, and on all paragraphs of the corpus that no notice speaks for, as the class ``unknown``, with and
+without the words that licences are known by: paragraphs of the same features are one row with their number. The probability that a family
+needs is calibrated on a quarter of these paragraphs, which are held out, so that hardly any unknown one reaches it. A prediction counts as confirmed if
 a notice of the family has enough of its n-grams in the paragraph.
 
 Every line that has any word of a notice is scored, but for words of grammar and single digits; without
@@ -15,6 +15,7 @@ notice has is then taken out, and the rest scored again, until no notice is conf
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -50,16 +51,28 @@ GRAMMAR = {*"a all and any are as be been by can following form has in is it may
 CUES = sorted({w for own in NOTICES.values() for t in own for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()} - GRAMMAR)
 #: Parts of words that most licence paragraphs have one of; examples of the unknown class are drawn with and without.
 COMMON = "(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|redistribut|permission|waived"
+COMMON_PARTS = ["licenc", "licens", *COMMON.split("|")[1:]]
 #: All words of notices.
 WORDS = sorted({w for own in NOTICES.values() for t in own for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()})
 FAMILIES = sorted(NOTICES)
-#: Features of the model, its penalty, examples of the unknown class that are read at most of each kind, the
+
+
+def _runs(notice: str, n: int = 2) -> list[str]:
+    own = "".join(c if c.isalnum() else " " for c in notice.lower()).split()
+    return [" ".join(own[i : i + n]) for i in range(len(own) - n + 1)]
+
+
+#: Runs of one to three words of notices, since other words tell nothing; those that hold a cue, which are the features; and those of two words.
+TOLD = sorted({r for own in NOTICES.values() for t in own for n in (1, 2, 3) for r in _runs(t, n)})
+TELLING = [r for r in TOLD if not set(r.split()).isdisjoint(CUES)]
+RUNS = sorted({r for own in NOTICES.values() for t in own for r in _runs(t)})
+#: Features of the model, its penalty, the weight of all examples of each kind of the unknown class together at most, the
 #: share of them that may reach a family, and the part of a notice that confirms it.
 FEATURES, PENALTY, EXAMPLES, FALSE, CONFIRMED = 1 << 14, 0.002, 3_000, 0.005, 0.6
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def grams(own: Column) -> Column:
@@ -79,6 +92,17 @@ def with_grams(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("own", words(text)).withColumn("grams", grams(F.col("own"))).drop("own")
 
 
+def telling(own: Column) -> Column:
+    """Of n-grams those that are features, in order, and one that says how many words are in no notice, in doublings."""
+    other = F.size(F.array_except(F.filter(own, lambda g: ~g.contains(" ")), F.lit(WORDS)))
+    return F.concat(F.sort_array(F.array_intersect(own, F.lit(TELLING))), _others(other))
+
+
+def _others(many: Column) -> Column:
+    doublings = F.floor(F.log2(many + F.lit(1)))
+    return F.when(many > 0, F.array(F.concat(F.lit("others "), doublings.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
 def notices(spark: SparkSession) -> DataFrame:
     """(family, notice) of the fixed notices."""
     rows = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("notice")) for f in FAMILIES for t in NOTICES[f]])
@@ -123,7 +147,7 @@ class Model:
     def classified(self, rows: DataFrame) -> DataFrame:
         """Rows with ``grams``, with (family, probability): the likeliest family, and the probability of
         any; unknown if that does not reach the threshold (a text may name two families)."""
-        made = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
+        made = _features(rows.withColumn("told", telling(F.col("grams")))).drop("told")
         made = self.regression.transform(made).withColumn("chances", vector_to_array("probability"))
         known = F.slice("chances", 1, len(FAMILIES))
         made = made.withColumn("probability", 1 - F.element_at("chances", -1)).withColumn("place", F.array_position(known, F.array_max(known)))
@@ -132,15 +156,14 @@ class Model:
         return made.withColumn("family", family).drop("features", "rawPrediction", "prediction", "chances", "place")
 
 
-def _least(rows: DataFrame, bound: int, *by: str) -> DataFrame:
-    """The different rows with the ``bound`` least hashes; only hashes are sorted, rows stay where they are."""
-    hashed = rows.withColumn("_hash", F.xxhash64(*by))
-    top = hashed.select("_hash").orderBy("_hash").limit(bound).agg(F.max("_hash")).first()[0]
-    return hashed.where(F.col("_hash") <= F.lit(top)).drop("_hash").distinct()
+def _features(rows: DataFrame) -> DataFrame:
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="told", outputCol="features").transform(rows)
 
 
 def _examples(docs: DataFrame, id_col: str, text_col: str, bound: int, found: DataFrame) -> DataFrame:
-    """(own, label): words of notices, whole and without some words, and of unknown paragraphs."""
+    """(told, label, weight, held): n-grams that tell, of notices, whole and without some words, and of all unknown paragraphs.
+
+    Unknown paragraphs of the same n-grams are one row; those of a kind weigh as many as they are, ``bound`` together at most."""
     spark = docs.sparkSession
     names = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("notice")) for f, n in NAMES.items()])
     base = notices(spark).unionAll(spark.range(1).select(F.inline(names))).select("family", words(F.col("notice")).alias("own"))
@@ -149,45 +172,43 @@ def _examples(docs: DataFrame, id_col: str, text_col: str, bound: int, found: Da
     missing = one.select("family", F.concat(F.slice("own", 1, F.col("k") - 1), F.slice("own", F.col("k") + 1, n)).alias("own"))
     parts = one.where((F.col("k") >= 3) & (F.col("k") * 10 >= n * 6)).select("family", F.slice("own", 1, F.col("k")).alias("own"))
     label = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
-    known = base.select("family", "own").unionAll(missing).unionAll(parts).where(n > 1).select("own", label.cast("double").alias("label"))
+    known = base.select("family", "own").unionAll(missing).unionAll(parts).where((n > 1) & (F.size("own") > 0))
+    known = known.select(telling(grams(F.col("own"))).alias("told"), label.cast("double").alias("label"), F.lit(4.0).alias("weight"), F.lit(False).alias("held"))
     # Unknown paragraphs: without a common cue and a run of a notice's words that tells, and with one but no run.
-    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    few = _least(picked, bound, "id", "text")
-    all_runs = sorted({r for f in NOTICES.values() for t in f for r in _runs(t)})
-    cued = [r for r in all_runs if not set(r.split()).isdisjoint(CUES)]
-
-    def apart(rows: DataFrame, told: list[str]) -> DataFrame:
-        own = staged(rows.select(words(F.col("paragraph")).alias("own")), "unknown")
-        return own.where(F.size(F.array_intersect(grams(F.col("own")), F.lit(told))) == 0)
-
-    by = ["id", "position", "paragraph"]
-    plain = few.select("id", F.posexplode(F.split("text", "\n")).alias("position", "paragraph")).where(~F.col("paragraph").rlike(COMMON))
-    plain = apart(_least(plain, bound, *by), cued)
-    odd = apart(_least(paragraphs(found).where("id IS NOT NULL").where(F.col("paragraph").rlike(COMMON)), bound, *by), all_runs)
-    unknown = plain.unionAll(odd).select("own", F.lit(float(len(FAMILIES))).alias("label"))
-    return staged(known.unionAll(unknown).where(F.size("own") > 0), "examples")
-
-
-def _runs(notice: str, n: int = 2) -> list[str]:
-    own = "".join(c if c.isalnum() else " " for c in notice.lower()).split()
-    return [" ".join(own[i : i + n]) for i in range(len(own) - n + 1)]
+    # The regular expression in parts, which are found much faster.
+    common = F.exists(F.array(F.lower("paragraph")), lambda x: functools.reduce(Column.__or__, [x.contains(part) for part in COMMON_PARTS])).alias("common")
+    held = (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 0).alias("held")
+    cued = with_grams(paragraphs(found).where("id IS NOT NULL"), F.col("paragraph"))
+    cued = staged(cued.select(F.array_intersect("grams", F.lit(RUNS)).alias("runs"), telling(F.col("grams")).alias("told"), common, held), "cued")
+    speak = F.when(F.col("common"), F.lit(RUNS)).otherwise(F.lit([r for r in RUNS if r in TELLING]))
+    apart = cued.where(~F.arrays_overlap("runs", speak)).groupBy("told", "common", "held").agg(F.count("*").alias("n"))
+    # Lines without a cue differ only in the number of their words.
+    text = docs.where(docs[id_col].isNotNull()).select(F.explode(F.split(docs[text_col], "\n")).alias("paragraph"))
+    own = F.col("own")
+    lines = text.where(~common).withColumn("own", words(F.col("paragraph")))
+    bare = (F.size(own) > 0) & ~F.arrays_overlap(own, F.lit(CUES))
+    lines = lines.select(_others(F.size(F.array_except(own, F.lit(WORDS)))).alias("told"), F.lit(False).alias("common"), held, bare.cast("long").alias("bare"))
+    alike = lines.groupBy("told", "common", "held").agg(F.sum("bare").alias("n"))
+    unknown = staged(apart.unionAll(alike.where("n > 0")), "unknown")
+    total = {r.common: r.n for r in unknown.groupBy("common").agg(F.sum("n").alias("n")).collect()}  # two rows
+    share = F.when(F.col("common"), min(1.0, bound / total.get(True, 1))).otherwise(min(1.0, bound / total.get(False, 1)))
+    unknown = unknown.select("told", F.lit(float(len(FAMILIES))).alias("label"), (F.col("n") * share).alias("weight"), "held")
+    return staged(known.unionAll(unknown), "examples")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = EXAMPLES, found: DataFrame | None = None) -> Model:
-    """A model from the fixed notices and at most ``bound`` paragraphs of each unknown kind, picked by hash.
+    """A model from the fixed notices and all unknown paragraphs, each kind of which weighs as ``bound`` of them at most.
 
     ``found``: the ``runs`` of the documents, if they are at hand."""
     found = runs(docs, id_col, text_col) if found is None else found
-    rows = _examples(docs, id_col, text_col, bound, found).withColumn("grams", grams(F.col("own")))
-    rows = rows.withColumn("held", (F.pmod(F.xxhash64("own"), F.lit(4)) == 0) & (F.col("label") == len(FAMILIES)))
-    rows = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
-    rows = rows.withColumn("weight", F.when(F.col("label") == len(FAMILIES), 1.0).otherwise(4.0))
-    train_on = staged(rows.where(~F.col("held")).select("features", "label", "weight").coalesce(2), "features")
+    rows = _features(_examples(docs, id_col, text_col, bound, found))
+    train_on = staged(rows.where(~F.col("held")).select("features", "label", "weight"), "features")
     fit = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=0.5, maxIter=40, weightCol="weight")
     # A class for every family, also if no unknown paragraph was found.
     made = fit.fit(train_on.unionAll(train_on.limit(1).select("features", F.lit(float(len(FAMILIES))).alias("label"), F.lit(1e-3).alias("weight"))))
-    scored = made.transform(rows.where("held")).select((1 - F.element_at(vector_to_array("probability"), -1)).alias("p"))
-    top = scored.agg(F.percentile("p", 1 - FALSE)).first()[0]
+    often = F.ceil(F.col("weight") * 1e6).cast("long").alias("often")
+    scored = made.transform(rows.where("held")).select((1 - F.element_at(vector_to_array("probability"), -1)).alias("p"), often)
+    top = scored.agg(F.percentile("p", 1 - FALSE, F.col("often"))).first()[0]
     return Model(made, max(0.5, min(0.95, top or 0.0)))
 
 
@@ -208,11 +229,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     marked = staged(model.classified(with_grams(paragraphs(found), text)).drop("grams"), "marked")
     alone = staged(known(with_grams(marked.where(F.col("family") != UNKNOWN), text)).select(*columns), "alone")
 
-    told = sorted({r for f in NOTICES.values() for t in f for n in (1, 2, 3) for r in _runs(t, n)})  # other words tell nothing
     place = [F.element_at("lines", 1)["position"].alias("position"), F.element_at("lines", -1)["position"].alias("last")]
     whole = F.array_join(F.transform("lines", lambda x: x["paragraph"]), " ")
     rest = found.where("size(lines) > 1").select("id", *place, whole.alias("paragraph"))
-    rest = staged(with_grams(rest, text).withColumn("grams", F.array_intersect("grams", F.lit(told))), "wide")
+    rest = staged(with_grams(rest, text).withColumn("grams", F.array_intersect("grams", F.lit(TOLD))), "wide")
     wide = None
     for _ in FAMILIES:
         hits = staged(known(staged(model.classified(rest), "marked")).where(F.col("likeness") >= CONFIRMED), "hits")

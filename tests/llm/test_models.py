@@ -185,3 +185,14 @@ def test_licences_without_a_cue_and_over_lines(docs_of):
     assert [got[i].n_licence for i in range(6)] == [1] * 6
     assert [got[i].families for i in (0, 4, 5)] == ["cc-by-sa", "bsd", "mit"]
     assert all(got[i].n_licence == 0 for i in range(6, 150))
+
+
+def test_all_unknown_paragraphs_are_learnt_from(docs_of):
+    cues = [c for c in licences.CUES if not re.search(licences.COMMON, c)]
+    docs = docs_of([(i, f"xyzzy {cue} xyzzy\nxyzzy\nlicence {cue}x") for i, cue in enumerate(cues)] + [(None, "xyzzy mit"), (900, None)])
+    rows = licences._examples(docs, "doc_id", "text", 10, licences.runs(docs)).collect()
+    rows = [r for r in rows if r.label == len(licences.FAMILIES)]
+    # With a bound of ten every cue is there, and the paragraphs weigh as ten.
+    assert {t for r in rows for t in r.told} == {*cues, "others 1"}
+    assert abs(sum(r.weight for r in rows) - 10) < 1e-9
+    assert sum(r.weight for r in rows if r.told == ["others 1"]) == 5.0
