@@ -38,7 +38,9 @@ def without(old: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def replace_groups(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Replace all rows of every group in the batch; an empty batch changes nothing."""
+    """Replace all rows of every group in the batch; an empty batch changes nothing.
+
+    The batch is read twice, so one that is costly to compute should be staged before."""
     return upsert(old, new, [key])
 
 
