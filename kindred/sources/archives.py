@@ -12,8 +12,10 @@ import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,9 @@ LINE_BATCH = 10_000
 # Members one task reads: some GB of books.
 MEMBERS_PER_TASK = 2_000
 # Bytes of members handed to Spark at a time; one larger member forms its own batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+# Bytes of texts of a batch that are handled at a time.
+PIECE_BYTES = 1 << 20
 
 
 def list_members(spark: SparkSession, location: str, glob: str | None = ZIP_GLOB) -> DataFrame:
@@ -98,6 +102,15 @@ def read_lines(members: DataFrame) -> DataFrame:
     )
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a column: what is made of a slice need not be held for the whole batch."""
+    held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    of = np.cumsum(held, dtype=np.int64) // most
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist() if len(of) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows (without the ``error`` column) and rejected rows."""
     return rows.where(F.col("error").isNull()).drop("error"), rows.where(F.col("error").isNotNull())
