@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.display import judge_prompt
 from kindred.functions.labels import judge_label
 from kindred.operators.edges import top_edges, with_books
+from kindred.sources.archives import pieces
 
 JUDGED_EDGES = 100
 
@@ -43,14 +44,18 @@ def ask(asked: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> Dat
                 return [(None, repr(failure))]
             return [answer for prompt in batch for answer in answers([prompt])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = answers(batch["prompt"].tolist())
-            yield batch.assign(answer=[g[0] for g in got], error=[g[1] for g in got])
-
     names = ["source_book_id", "candidate_book_id", "prompt"]
     schema = "source_book_id long, candidate_book_id long, prompt string, answer string, error string"
-    return asked.select(*names).mapInPandas(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Prompts become Python objects a piece at a time, and ids never do.
+        for batch in batches:
+            for piece in pieces(batch, "prompt"):
+                got = answers(piece.column("prompt").to_pylist())
+                added = [pa.array(column, pa.string()) for column in zip(*got)]
+                yield pa.RecordBatch.from_arrays(piece.columns + added, [*names, "answer", "error"])
+
+    return asked.select(*names).mapInArrow(run, schema)
 
 
 def labels(answered: DataFrame) -> DataFrame:
