@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.labels import is_rated, unit_interval
 from kindred.operators.edges import PAIR, ratings
+from kindred.session import stage
 from kindred.sources.tables import highest, latest, number, upsert, without
 
 FEEDBACK_PAIR = ["source_book_id", "candidate_book_id"]
@@ -98,25 +99,20 @@ def text_pairs(feedback: DataFrame, texts: DataFrame) -> DataFrame:
     """Training pairs for an encoder: ``source_text, candidate_text, score`` in 0..1.
 
     ``texts`` has ``book_id, sample``. Pairs with an unknown book drop out. Texts are the
-    big side, so only texts of rated books are shuffled.
+    big side: those of rated books are staged, once each. The side with fewer books is joined last, from a table
+    of its own, whose size Spark knows: where it is small it is broadcast, and no pair is shuffled with a text.
     """
-    pairs = rated_pairs(feedback)
-    source = texts.select(
-        F.col("book_id").alias("source_book_id"), F.col("sample").alias("source_text")
-    )
-    candidate = texts.select(
-        F.col("book_id").alias("candidate_book_id"), F.col("sample").alias("candidate_text")
-    )
-    return (
-        pairs.join(source, "source_book_id")
-        .join(candidate, "candidate_book_id")
-        .select(
-            *FEEDBACK_PAIR,
-            "source_text",
-            "candidate_text",
-            unit_interval(F.col("label")).alias("score"),
-        )
-    )
+    pairs = stage(rated_pairs(feedback), "pairs")
+    ids = F.explode(F.array(*FEEDBACK_PAIR)).alias("book_id")
+    rated = stage(texts.select("book_id", "sample").join(pairs.select(ids).distinct(), "book_id", "left_semi"), "rated-texts")
+    many = pairs.agg(*[F.countDistinct(c) for c in FEEDBACK_PAIR]).first()
+    last, first = sorted(FEEDBACK_PAIR, key=lambda c: many[FEEDBACK_PAIR.index(c)])
+    few = rated.join(pairs.select(F.col(last).alias("book_id")).distinct(), "book_id", "left_semi")
+    joined = pairs
+    for side, held in ((first, rated), (last, stage(few, "few-texts"))):
+        text = F.col("sample").alias(side.replace("book_id", "text"))
+        joined = joined.join(held.select(F.col("book_id").alias(side), text), side)
+    return joined.select(*FEEDBACK_PAIR, "source_text", "candidate_text", unit_interval(F.col("label")).alias("score"))
 
 
 def keep_latest(log: DataFrame) -> DataFrame:
