@@ -8,7 +8,9 @@ Two texts link when their sets of word shingles have a Jaccard similarity of at
    sets. So a set that links has at least as many signatures of parts in common with other sets
    as it has parts beyond that number; sets with fewer go no further. Exact copies are one set.
 2. Sets that share a signature form groups. A group goes to one task, a large one in tiles of two
-   bounded parts, so that every pair meets and no task holds more than two parts.
+   bounded parts, so that every pair meets and no task holds more than two parts. The sets of a large
+   group are written once, a folder for each part, and its tiles read two folders: no text is
+   shuffled to each tile.
 3. In a task the shingles of the group have inverted lists. For each text, shortest first, the
    short lists are merged, documents that reach the threshold less the number of long lists are
    probed in those by binary search (DivideSkip), and those that reach the required overlap link.
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, lean, mix, staged
+from kindred import stored
+from kindred.llm.common import components, lean, mix, release, staged
 from kindred.llm.shingles import shingles
 from kindred.session import parallelism
 
@@ -272,6 +275,83 @@ def digests(made: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
+def links_of(ids: list[int], sets: list[np.ndarray], sides: list[int] | None, weights: list[int], percent: int) -> pa.RecordBatch:
+    """(a, b, links) of the sets of a tile."""
+    side = None if sides is None else np.array(sides)
+    pairs, many = connections(search(sets, percent, side), np.array(weights, np.int64))
+    own = np.flatnonzero(many).tolist()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([ids[a] for a, _ in pairs] + [ids[a] for a in own], pa.int64()),
+            pa.array([ids[b] for _, b in pairs] + [None] * len(own), pa.int64()),
+            pa.array([None] * len(pairs) + many[own].tolist(), pa.int64()),
+        ],
+        ["a", "b", "links"],
+    )
+
+
+def written_parts(rows: DataFrame, width: int) -> str:
+    """The folder of the sets (id, weight, made) of rows (grp, part, id, one, two, weight, text), in folders
+    of its own each part of a group. Of rows with one id, what has not the set that was asked for is left out."""
+
+    def run(batches):
+        key, had = None, set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            own, one, two = (batch.column(c).to_pylist() for c in range(2, 5))
+            for first, made, begin in shingles(batch.column(6), width):
+                found = [d.view(np.int64).tolist() for d in digests(made, begin)]
+                take = []
+                for r in range(len(begin) - 1):
+                    k = first + r
+                    if keys[k] != key:
+                        key, had = keys[k], set()
+                    name = (own[k], one[k], two[k])
+                    if name not in had and (found[0][r], found[1][r]) == name[1:]:
+                        had.add(name)
+                        take.append(r)
+                kept = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(made.view(np.int64))).take(pa.array(take, pa.int64()))
+                rest = [batch.column(c).slice(first, len(begin) - 1).take(pa.array(take, pa.int64())) for c in (0, 1, 2, 5)]
+                yield pa.RecordBatch.from_arrays([*rest, kept], ["grp", "part", "id", "weight", "made"])
+
+    dealt = rows.repartition(parallelism(rows.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", "id")
+    columns = ["grp", "part", "id", "one", "two", "weight", "text"]
+    made = dealt.select(*columns).mapInArrow(lean(run), "grp long, part int, id long, weight long, made array<long>")
+    return stored.written(made, "llm-parts", "grp", "part")
+
+
+def searched_parts(tiles: DataFrame, folder: str, percent: int) -> DataFrame:
+    """What ``searched`` finds, of tiles (grp, i, j) of the parts in a folder. A task holds two parts."""
+
+    def held(grp, part):
+        ids, weights, sets = [], [], []
+        for name in stored.under(f"{folder}/grp={grp}/part={part}"):
+            for batch in stored.batches(name, ["id", "weight", "made"], 1_000):
+                ids += batch.column(0).to_pylist()
+                weights += batch.column(1).to_pylist()
+                lists = batch.column(2)
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                sets += [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return ids, weights, sets
+
+    def run(batches):
+        key, left = None, None
+        for batch in batches:
+            for grp, i, j in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if key != (grp, i):
+                    key, left = (grp, i), held(grp, i)
+                right = ([], [], []) if i == j else held(grp, j)
+                ids, weights, sets = (a + b for a, b in zip(left, right, strict=True))
+                sides = None if i == j else [0] * len(left[0]) + [1] * len(right[0])
+                if len(sets) > 1:
+                    yield links_of(ids, sets, sides, weights, percent)
+
+    # Tiles of one part follow each other, so that a task reads it once.
+    tasks = parallelism(tiles.sparkSession)
+    dealt = tiles.select("grp", "i", "j").repartitionByRange(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return dealt.mapInArrow(lean(run), "a long, b long, links long")
+
+
 def searched(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, links) of the texts of rows (grp, i, j, part, id, one, two, weight, text): pairs a, b that connect
     all texts linked in a tile, and for each text (b null) the weights of those it links with. A tile
@@ -282,17 +362,7 @@ def searched(rows: DataFrame, width: int, percent: int) -> DataFrame:
         key, ids, sets, sides, weights, had = None, [], [], [], [], set()
 
         def flush():
-            side = np.array(sides) if key and key[1] != key[2] else None
-            pairs, many = connections(search(sets, percent, side), np.array(weights, np.int64))
-            own = np.flatnonzero(many).tolist()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[a] for a, _ in pairs] + [ids[a] for a in own], pa.int64()),
-                    pa.array([ids[b] for _, b in pairs] + [None] * len(own), pa.int64()),
-                    pa.array([None] * len(pairs) + many[own].tolist(), pa.int64()),
-                ],
-                ["a", "b", "links"],
-            )
+            return links_of(ids, sets, sides if key and key[1] != key[2] else None, weights, percent)
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
@@ -321,6 +391,25 @@ def searched(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return tiled.select(*columns).mapInArrow(lean(run), "a long, b long, links long")
 
 
+def _found(members: DataFrame, totals: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, links) of all groups (grp, parts): members are (grp, parts, part, id, one, two, weight, text)."""
+
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "one", "two", "weight", "text")
+
+    large = totals.where("parts > 1")
+    if large.isEmpty():
+        return searched(in_tiles(members), width, percent)
+    folder = written_parts(members.where("parts > 1"), width)
+    if not stored.readable(folder):
+        return searched(in_tiles(members), width, percent)
+    tiles = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)))
+    found = searched(in_tiles(members.where("parts = 1")), width, percent)
+    return found.unionAll(searched_parts(tiles, folder, percent))
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row.
 
@@ -337,13 +426,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first = real.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
     first = staged(first, "first")
     groups = candidates(real).select(F.col("node").alias("one"), F.col("component").alias("grp"))
+    release(docs.sparkSession)  # the signatures' shuffle is the largest
     members = first.join(groups, "one").select("grp", F.col("rep").alias("id"), "n", "one", "two", "weight")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("many")).where("many > 1")
-    cut = members.join(totals, "grp").withColumn("parts", F.ceil(F.col("total") / PART).cast("int"))
+    totals = staged(totals.select("grp", F.ceil(F.col("total") / PART).cast("int").alias("parts")), "totals")
     part = F.pmod(F.xxhash64("one", "two"), F.col("parts")).cast("int")
-    cut = cut.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = cut.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "one", "two", "weight")
-    found = staged(searched(tiles.join(picked, "id"), width, percent), "found")
+    cut = members.join(totals, "grp").withColumn("part", part)
+    # Only texts of groups go on; all are shuffled for that once.
+    found = staged(_found(staged(cut.join(picked, "id"), "members"), totals, width, percent), "found")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     counted = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = first.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")

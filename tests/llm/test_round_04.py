@@ -1,0 +1,24 @@
+"""Work that must not grow with the square of the input on disk: what a task is given, and the same results."""
+
+import random
+
+from kindred.llm import jaccard
+
+
+def test_texts_of_a_large_group_are_not_shuffled_to_each_tile(docs_of, monkeypatch):
+    """Members of a group of many parts went by every other part: as many copies of a text as parts."""
+    pick = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:k % 50] + [f"x{pick.randrange(9)}"] + words[k % 50 + 1 :])) for k in range(60)]
+    rows += [(100 + k, f"apart {k} from all others and of two") for k in range(2)] + [(7, "some other text of the same id")]
+    whole = {tuple(r) for r in jaccard.jaccard_classes(docs_of(rows), 4, 80).collect()}
+    given = []
+    plain = jaccard.searched
+    monkeypatch.setattr(jaccard, "searched", lambda rows, *more: (given.append(rows.count()), plain(rows, *more))[1])
+    monkeypatch.setattr(jaccard, "PART", 300)
+    assert {tuple(r) for r in jaccard.jaccard_classes(docs_of(rows), 4, 80).collect()} == whole
+    assert sum(given) <= len(rows)
+    assert len({r[2] for r in whole if r[0] < 60 and r[0] != 7}) == 1
+    # Where tasks cannot open the folder the texts are shuffled, with the same result.
+    monkeypatch.setattr(jaccard.stored, "readable", lambda name: False)
+    assert {tuple(r) for r in jaccard.jaccard_classes(docs_of(rows), 4, 80).collect()} == whole
