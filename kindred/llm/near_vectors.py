@@ -5,6 +5,8 @@ along it and cut into blocks. Two blocks are compared only if their boxes on the
 within the distance that the threshold allows. In a tile the products of the leading axes are summed
 first; the rest of a cosine is at most the product of the two suffix norms, so a pair is given up as
 soon as both together stay below the threshold. Survivors are decided on the vectors themselves.
+Blocks are written once, some to a file, and a task reads the two files whose blocks it compares: no
+block is shuffled for each block that it meets.
 Equal vectors are compared once, with their number. A tile returns link counts and a
 spanning forest of its links, never the pairs.
 """
@@ -20,16 +22,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from kindred import stored
 from kindred.llm.common import components, lean, staged
 from kindred.llm.vectors import usable
 from kindred.session import parallelism
 
-#: Vectors of a block, blocks that one task compares with another, axes of the boxes, and the axes
+#: Vectors of a block, blocks of a file or shuffled together to one they meet, axes of the boxes, and the axes
 #: summed by the end of each step.
 BLOCK, STRIP, BOX = 2048, 8, 8
 STEPS = (8, 16, 32)
 #: Numbers that a step of a comparison holds at once, whatever the length of the vectors.
 CELLS = 1 << 19
+#: Numbers of the blocks that a task keeps made ready while it goes through two files.
+READY = 8 << 20
 SLACK = 1e-9
 
 
@@ -141,7 +146,9 @@ def _blocks(rows: DataFrame, turned: dict[int, np.ndarray], most: int, kind: str
     n = parallelism(rows.sparkSession)
     ordered = placed.repartitionByRange(n, "size", "at", "id").sortWithinPartitions("size", "at", "id")
     schema = "block long, size long, ids array<long>, many array<long>, data binary, low array<double>, high array<double>"
-    return staged(ordered.select("id", "many", "x").mapInArrow(lean(cut), schema), "blocks")
+    # A file has few blocks, so that who needs one does not read many.
+    path = stored.written(ordered.select("id", "many", "x").mapInArrow(lean(cut), schema), "llm-blocks", most=STRIP)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 class Side:
@@ -208,6 +215,116 @@ def spanning(forest: Forest, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int
                 yield p, q
 
 
+LINKS = "id long, links long, other long"
+
+
+class Met:
+    """Link counts and a spanning forest of the links of a block with others."""
+
+    def __init__(self):
+        self.counts: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def meet(self, a: Side, b: Side, threshold: float, same: bool) -> None:
+        forest, shift = Forest(len(a.ids) + len(b.ids)), 0 if same else len(a.ids)
+        both = np.concatenate([a.ids, b.ids])
+        gained = np.zeros(len(both), np.int64)
+        for i, j in linked(a, b, threshold, same):
+            gained += np.bincount(i, weights=b.many[j], minlength=len(both)).astype(np.int64)
+            gained += np.bincount(j + len(a.ids), weights=a.many[i], minlength=len(both)).astype(np.int64)
+            for p, q in spanning(forest, i, j + shift):
+                self.edges.append((int(both[p]), int(both[q])))
+        for p in np.flatnonzero(gained).tolist():
+            self.counts[int(both[p])] = self.counts.get(int(both[p]), 0) + int(gained[p])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.counts:
+            ids = [*self.counts, *(e[0] for e in self.edges)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array([*self.counts.values(), *[0] * len(self.edges)], pa.int64()),
+                    pa.array([*[None] * len(self.counts), *(e[1] for e in self.edges)], pa.int64()),
+                ],
+                ["id", "links", "other"],
+            )
+
+
+class File:
+    """The blocks of a file; those used last are kept ready."""
+
+    def __init__(self, name: str, turned: dict[int, np.ndarray], number: str):
+        self.turned, self.number, self.ready = turned, number, {}
+        self.rows = {}
+        for batch in stored.batches(name, ["block", "size", "ids", "many", "data"], 1):
+            self.rows[batch.column(0)[0].as_py(), batch.column(1)[0].as_py()] = batch
+
+    def side(self, block: int, size: int) -> Side:
+        key = block, size
+        if key not in self.ready:
+            row = self.rows[key]
+            ids, many = (row.column(c).flatten().to_numpy() for c in (2, 3))
+            while self.ready and sum(2 * s.x.size for s in self.ready.values()) + 2 * len(ids) * size > READY:
+                self.ready.pop(next(iter(self.ready)))
+            self.ready[key] = Side(size, ids, many, row.column(4)[0].as_py(), self.turned[size], self.number)
+        return self.ready[key]
+
+
+def _met_in_files(pairs: DataFrame, blocks: DataFrame, turned: dict[int, np.ndarray], threshold: float, number: str) -> DataFrame:
+    """(id, links, other) of the pairs of blocks: a task reads two files, and compares what of them meets."""
+    at = blocks.select("block", "size", F.input_file_name().alias("file"))
+    met = pairs.join(at, "block").join(at.select(F.col("block").alias("other"), "size", F.col("file").alias("file2")), ["other", "size"])
+    tiles = met.groupBy("file", "file2").agg(F.sort_array(F.collect_list(F.struct("block", "other", "size"))).alias("pairs"))
+
+    def run(batches):
+        held: dict[str, File] = {}
+        for batch in batches:
+            for one, two, pairs_ in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                held = {name: held.get(name) or File(name, turned, number) for name in dict.fromkeys((one, two))}
+                met, last = Met(), None
+                for p in pairs_:
+                    if last is not None and last != p["block"]:
+                        yield from met.rows()
+                        met = Met()
+                    last = p["block"]
+                    a, b = held[one].side(p["block"], p["size"]), held[two].side(p["other"], p["size"])
+                    met.meet(a, b, threshold, p["block"] == p["other"])
+                yield from met.rows()
+
+    # Many small partitions: tiles with many pairs do not lie together, those of one file do as far as they can.
+    tasks = 4 * parallelism(pairs.sparkSession)
+    ordered = tiles.repartitionByRange(tasks, "file", "file2").sortWithinPartitions("file", "file2")
+    return ordered.select("file", "file2", "pairs").mapInArrow(lean(run), LINKS)
+
+
+def _met_in_strips(pairs: DataFrame, blocks: DataFrame, turned: dict[int, np.ndarray], threshold: float, number: str) -> DataFrame:
+    """The same where tasks cannot open the files: strips of blocks are shuffled to each block they meet."""
+    strip = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("other")) - 1) / STRIP)
+    pairs = staged(pairs.withColumn("strip", strip), "tiles")
+    data = blocks.select(F.col("block").alias("other"), "size", "ids", "many", "data")
+    others = pairs.join(data, "other").withColumn("kind", F.lit(1))
+    own = pairs.select("block", "strip").distinct().withColumn("other", F.col("block")).join(data, "other").withColumn("kind", F.lit(0))
+    columns = ["block", "strip", "kind", "other", "size", "ids", "many", "data"]
+    tiles = staged(own.select(columns), "own").unionAll(staged(others.select(columns), "others"))
+
+    def run(batches):
+        a, key, met = None, None, Met()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, strip_, kind, other, size, ids, many, data_ = (batch.column(c)[r].as_py() for c in range(8))
+                side = Side(size, ids, many, data_, turned[size], number)
+                if kind == 0:
+                    yield from met.rows()
+                    a, key, met = side, (block, strip_), Met()
+                    continue
+                assert key == (block, strip_)
+                met.meet(a, side, threshold, other == block)
+        yield from met.rows()
+
+    ordered = tiles.repartition(parallelism(pairs.sparkSession), "block", "strip").sortWithinPartitions("block", "strip", "kind", "other")
+    return ordered.select(columns).mapInArrow(lean(run), LINKS)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -239,53 +356,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         lambda s, k: s + F.pow(F.greatest(F.lit(0.0), F.col("low")[k] - F.col("high2")[k], F.col("low2")[k] - F.col("high")[k]), 2),
     )
     pairs = left.join(right, ["size", "slab"]).where("block <= other").where(gap <= reach * reach + SLACK)
-    pairs = pairs.select("block", "other").distinct()
-    strip = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("other")) - 1) / STRIP)
-    pairs = staged(pairs.withColumn("strip", strip), "tiles")
-    data = blocks.select(F.col("block").alias("other"), "size", "ids", "many", "data")
-    others = pairs.join(data, "other").withColumn("kind", F.lit(1))
-    own = pairs.select("block", "strip").distinct().withColumn("other", F.col("block")).join(data, "other").withColumn("kind", F.lit(0))
-    columns = ["block", "strip", "kind", "other", "size", "ids", "many", "data"]
-    tiles = staged(own.select(columns), "own").unionAll(staged(others.select(columns), "others"))
-
-    def run(batches):
-        a, key = None, None
-        counts: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
-
-        def flush():
-            ids = [*counts, *(e[0] for e in edges)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([*counts.values(), *[0] * len(edges)], pa.int64()), pa.array([*[None] * len(counts), *(e[1] for e in edges)], pa.int64())],
-                ["id", "links", "other"],
-            )
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block, strip_, kind, other, size, ids, many, data_ = (batch.column(c)[r].as_py() for c in range(8))
-                side = Side(size, ids, many, data_, turned[size], number)
-                if kind == 0:
-                    if counts:
-                        yield flush()
-                    a, key, counts, edges = side, (block, strip_), {}, []
-                    continue
-                assert key == (block, strip_)
-                # A spanning forest of the tile's links.
-                forest, shift = Forest(len(a.ids) + len(side.ids)), 0 if other == block else len(a.ids)
-                both = np.concatenate([a.ids, side.ids])
-                gained = np.zeros(len(both), np.int64)
-                for i, j in linked(a, side, threshold, other == block):
-                    gained += np.bincount(i, weights=side.many[j], minlength=len(both)).astype(np.int64)
-                    gained += np.bincount(j + len(a.ids), weights=a.many[i], minlength=len(both)).astype(np.int64)
-                    for p, q in spanning(forest, i, j + shift):
-                        edges.append((int(both[p]), int(both[q])))
-                for p in np.flatnonzero(gained).tolist():
-                    counts[int(both[p])] = counts.get(int(both[p]), 0) + int(gained[p])
-        if counts:
-            yield flush()
-
-    ordered = tiles.repartition(parallelism(vectors.sparkSession), "block", "strip").sortWithinPartitions("block", "strip", "kind", "other")
-    found = staged(ordered.select(columns).mapInArrow(lean(run), "id long, links long, other long"), "links")
+    pairs = staged(pairs.select("block", "other").distinct(), "pairs")
+    if blocks.isEmpty() or stored.readable(blocks.inputFiles()[0]):
+        found = _met_in_files(pairs, blocks, turned, threshold, number)
+    else:
+        found = _met_in_strips(pairs, blocks, turned, threshold, number)
+    found = staged(found, "links")
     links = found.where("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     linked_ = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = classes.join(links, "rep", "left").join(linked_.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,7 +2,9 @@
 
 import random
 
-from kindred.llm import jaccard
+import numpy as np
+
+from kindred.llm import jaccard, near_vectors
 
 
 def test_texts_of_a_large_group_are_not_shuffled_to_each_tile(docs_of, monkeypatch):
@@ -22,3 +24,24 @@ def test_texts_of_a_large_group_are_not_shuffled_to_each_tile(docs_of, monkeypat
     # Where tasks cannot open the folder the texts are shuffled, with the same result.
     monkeypatch.setattr(jaccard.stored, "readable", lambda name: False)
     assert {tuple(r) for r in jaccard.jaccard_classes(docs_of(rows), 4, 80).collect()} == whole
+
+
+def test_blocks_of_vectors_are_not_shuffled_to_each_they_meet(spark, monkeypatch):
+    """Each pair of blocks was a row with the components of one, which grew with the square of the vectors."""
+    make = np.random.default_rng(5)
+    base = make.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in base[i % 20] + make.normal(size=16) * (0.1 if i % 3 else 1.0)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(near_vectors, "BLOCK", 20)
+    shuffled = []
+    plain = near_vectors._met_in_strips
+    monkeypatch.setattr(near_vectors, "_met_in_strips", lambda *given: (shuffled.append(1), plain(*given))[1])
+    sizes = []
+    keep = near_vectors.staged
+    monkeypatch.setattr(near_vectors, "staged", lambda rows, name: (sizes.append((name, "data" in rows.columns)), keep(rows, name))[1])
+    found = {tuple(r) for r in near_vectors.near_vectors(table).collect()}
+    assert not shuffled and not any(data for _, data in sizes)
+    # Where tasks cannot open the files they are, with the same result.
+    monkeypatch.setattr(near_vectors.stored, "readable", lambda name: False)
+    assert {tuple(r) for r in near_vectors.near_vectors(table).collect()} == found and shuffled
+    assert sum(r[1] for r in found) > 100
