@@ -8,7 +8,6 @@ named by ``spark.checkpoint.dir`` and read again, so a lost executor costs only
 from __future__ import annotations
 
 import ctypes
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.session import shared_dir, ship, stage
+from kindred.session import release, shared_dir, ship, stage
 
 __all__ = ["table", "staged", "lean", "spans_of_text", "pieces", "mix", "slice_codes", "same_slices", "components", "shared_dir", "fold", "release"]
 
@@ -32,13 +31,6 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return stage(rows, f"llm-{name}")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no table needs any more: it does so when the driver's JVM
-    collects what refers to them, which may otherwise be long after a large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @cache
 def _trim() -> Callable:
     """What makes the C library return free memory; nothing where it has no such call."""
